@@ -14,6 +14,21 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of the members that supply each surviving field of a group."""
+    from boardweave.llm.canonical import survivors
+
+    return survivors(_read(spark, sf_dir, "dedup_groups")).select("group_id", "account_link", "date_link", "title_link")
+
+
+def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving records, with the number of values judged true for each field."""
+    from boardweave.llm.canonical import survivors
+
+    s = survivors(_read(spark, sf_dir, "dedup_groups"))
+    return s.select("group_id", "account", "date", "title", *[F.coalesce(F.size(f"{f}s_true"), F.lit(0)).alias(f"true_{f}s") for f in ("account", "date", "title")])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of articles of batch 1 and later that repeat or nearly repeat a row of a smaller batch."""
     from boardweave.llm.incremental import repeated_rows
@@ -51,8 +66,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(_read(spark, sf_dir, "articles"), "row_id", TITLE)
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    from boardweave.llm.tokenizer import encoded
+
+    return encoded(_read(spark, sf_dir, "documents"), "doc_id", "text").toDF("doc_id", "ids")
+
+
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the ids of every document decode to its text again."""
+    from boardweave.llm.tokenizer import round_trips
+
+    return round_trips(_read(spark, sf_dir, "documents"), "doc_id", "text").toDF("doc_id", "n_ids", "same")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_counts, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p3_found, p4_found, p5_found, p5_counts, p7_found, p8_ids, p8_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
