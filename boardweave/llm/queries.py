@@ -29,6 +29,13 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("group_id", "account", "date", "title", *[F.coalesce(F.size(f"{f}s_true"), F.lit(0)).alias(f"true_{f}s") for f in ("account", "date", "title")])
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of the city and unit lists that typed cities and employers stand for; -1 for none."""
+    from boardweave.llm.mapping import typed_to_listed
+
+    return typed_to_listed(*(_read(spark, sf_dir, t) for t in ("screen_results", "preferences", "city_list", "unit_list")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of articles of batch 1 and later that repeat or nearly repeat a row of a smaller batch."""
     from boardweave.llm.incremental import repeated_rows
@@ -81,7 +88,7 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p3_found, p4_found, p5_found, p5_counts, p7_found, p8_ids, p8_round_trip)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p3_found, p4_found, p5_found, p5_counts, p7_found, p8_ids, p8_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
