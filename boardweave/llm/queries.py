@@ -66,6 +66,13 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return representatives(_read(spark, sf_dir, "articles"), "row_id", TITLE).toDF("keep_row_id", "copies")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of different spellings of one employer."""
+    from boardweave.llm.variants import variant_pairs
+
+    return variant_pairs(*(_read(spark, sf_dir, t) for t in ("screen_results", "city_list", "unit_list")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of rows in a group of near-duplicate titles, but for copies of one title."""
     from boardweave.llm.near_titles import near_pairs
@@ -88,7 +95,7 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p3_found, p4_found, p5_found, p5_counts, p7_found, p8_ids, p8_round_trip)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p3_found, p4_found, p5_found, p5_counts, p6_found, p7_found, p8_ids, p8_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
