@@ -94,8 +94,15 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(_read(spark, sf_dir, "documents"), "doc_id", "text").toDF("doc_id", "n_ids", "same")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least about half of an evaluation passage."""
+    from boardweave.llm.leakage import leaks
+
+    return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p3_found, p4_found, p5_found, p5_counts, p6_found, p7_found, p8_ids, p8_round_trip)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p3_found, p4_found, p5_found, p5_counts, p6_found, p7_found, p8_ids, p8_round_trip, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
