@@ -101,8 +101,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents more than half of which is repeated keywords, links or tags."""
+    from boardweave.llm.stuffing import stuffed_pages
+
+    return stuffed_pages(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p3_found, p4_found, p5_found, p5_counts, p6_found, p7_found, p8_ids, p8_round_trip, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p3_found, p4_found, p5_found, p5_counts, p6_found, p7_found, p8_ids, p8_round_trip, p9_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
