@@ -12,7 +12,7 @@ keywords run over many lines. A segment counts as stuffing when
   exceed COHERENT;
 - or it is made of links with labels.
 A page is flagged when such segments hold more than half of its characters, spaces aside. Mean PMI alone would
-not do: on these texts it is 5.0 to 7.0 bits in runs of tags, and 5.4 to 8.6 in sentences.
+not do: on these texts it is 5.0 to 7.0 bits in most Chinese runs of tags, and 5.4 to 8.6 in sentences.
 
 Defined results: null, empty and blank texts are not flagged; repeated documents are judged alike; an empty table
 gives an empty result; whole texts of any length are read; other columns are not read.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 #: Sizes of the hashed tables of word and pair counts.
 WORD_SLOTS, PAIR_SLOTS = 1 << 18, 1 << 20
 #: What makes a collocation excessive, and the mean PMI up to which a run of items is incoherent, in bits.
-REPEATS, EXCESS, COHERENT = 3, 5.0, 7.5
+REPEATS, EXCESS, COHERENT = 3, 5.0, 10.0
 #: Items of a run, and units (Han characters; a Latin word counts four) that three quarters of them don't exceed.
 ITEMS, ITEM_UNITS = 6, 12
 #: Characters of label that a link may have.
