@@ -38,7 +38,7 @@ THRESHOLD = 0.7
 #: Size of the table of letter-pair counts that orders letter pairs by rarity; any order is correct, a good one is fast.
 BUCKETS = 1 << 18
 #: Bits of a fingerprint, as 64-bit words.
-WORDS = 4
+WORDS = 2
 #: Rows from which a shard is split, and the most shards that may be split.
 SHARD_ROWS, SPLIT_SHARDS = 20_000, 100_000
 #: Fingerprints on which the tree that splits large shards is fitted, and its leaves.
@@ -69,58 +69,70 @@ def letter_pairs(texts) -> tuple[np.ndarray, np.ndarray]:
 
 def pair_counts(titles: DataFrame) -> np.ndarray:
     """How often letter pairs of each bucket occur in all titles. Bounded: BUCKETS numbers."""
+    return bucket_sums(titles.select("form"), lambda pdf: (letter_pairs(pdf.form)[1] % np.uint64(BUCKETS)).astype(np.int64))
+
+
+def prefixes(pdf: pd.DataFrame, counts: np.ndarray, threshold: float):
+    """(owner, token, rank, size, prints) of the rarest letter pairs of a batch of titles."""
+    owner, h = letter_pairs(pdf.form)
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    start = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])]
+    at = np.arange(len(owner))
+    nth = at - np.maximum.accumulate(np.where(start[: len(owner)], at, 0))
+    token = mix(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    # the fingerprint: parity of the tokens in each slot
+    bit = (token >> np.uint64(20)) % np.uint64(64 * WORDS)
+    prints = np.zeros((len(pdf), WORDS), np.uint64)
+    np.bitwise_xor.at(prints, (owner, (bit // np.uint64(64)).astype(np.int64)), np.uint64(1) << (bit % np.uint64(64)))
+    size = np.bincount(owner, minlength=len(pdf))
+    order = np.lexsort((token, counts[(h % np.uint64(BUCKETS)).astype(np.int64)], owner))
+    owner, token = owner[order], token[order]
+    first = np.r_[0, np.cumsum(size)[:-1]]
+    rank = at - first[owner]
+    keep = rank <= size[owner] - np.ceil(size[owner] * threshold / (2 - threshold) - 1e-9)
+    return owner[keep], token[keep], rank[keep], size, prints
+
+
+def bucket_sums(df: DataFrame, buckets_of) -> np.ndarray:
+    """Sums over all rows of how often buckets_of(batch) names each bucket. Bounded: BUCKETS numbers."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, np.int64)
         for pdf in batches:
-            total += np.bincount((letter_pairs(pdf.form)[1] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            total += np.bincount(buckets_of(pdf), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
-    got = titles.select("form").mapInPandas(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = df.mapInPandas(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS, np.int64)
     out[got.bucket.to_numpy()] = got.n.to_numpy()
     return out
 
 
-def prefix_rows(titles: DataFrame, threshold: float) -> DataFrame:
-    """token, vid, size, rank, f0..: the rarest letter pairs of each title, with its fingerprint."""
+def prefix_rows(titles: DataFrame, threshold: float) -> tuple[DataFrame, np.ndarray]:
+    """token, vid, size, rank, f0..: the rarest letter pairs of each title, with its fingerprint; rows by token bucket.
+
+    The buckets' sizes are summed in a pass of their own, which sends on no rows: cheaper than keeping the rows,
+    which are many times the input, until their shards have been counted.
+    """
     counts = titles.sparkSession.sparkContext.broadcast(pair_counts(titles))
+    sizes = bucket_sums(titles.select("form"), lambda pdf: (prefixes(pdf, counts.value, threshold)[1] & np.uint64(BUCKETS - 1)).astype(np.int64))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            owner, h = letter_pairs(pdf.form)
-            order = np.lexsort((h, owner))
-            owner, h = owner[order], h[order]
-            n = len(owner)
-            if not n:
-                continue
-            start = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])]
-            at = np.arange(n)
-            nth = at - np.maximum.accumulate(np.where(start, at, 0))
-            token = mix(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            # the fingerprint: parity of the tokens in each slot
-            bit = (token >> np.uint64(20)) % np.uint64(64 * WORDS)
-            prints = np.zeros((len(pdf), WORDS), np.uint64)
-            np.bitwise_xor.at(prints, (owner, (bit // np.uint64(64)).astype(np.int64)), np.uint64(1) << (bit % np.uint64(64)))
-            size = np.bincount(owner, minlength=len(pdf))
-            order = np.lexsort((token, counts.value[(h % np.uint64(BUCKETS)).astype(np.int64)], owner))
-            owner, token = owner[order], token[order]
-            first = np.r_[0, np.cumsum(size)[:-1]]
-            rank = at - first[owner]
-            keep = rank <= size[owner] - np.ceil(size[owner] * threshold / (2 - threshold) - 1e-9)
-            owner, token, rank = owner[keep], token[keep], rank[keep]
+            owner, token, rank, size, prints = prefixes(pdf, counts.value, threshold)
             yield pd.DataFrame({"token": token.view(np.int64), "vid": pdf.vid.to_numpy()[owner], "size": size[owner].astype(np.int32), "rank": rank.astype(np.int32)} | {f"f{w}": prints[owner, w].view(np.int64) for w in range(WORDS)})
 
     words = ", ".join(f"f{w} bigint" for w in range(WORDS))
-    return titles.select("vid", "form").mapInPandas(rows, f"token bigint, vid bigint, size int, rank int, {words}")
+    return titles.select("vid", "form").mapInPandas(rows, f"token bigint, vid bigint, size int, rank int, {words}"), sizes
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hamming distances of all rows of a to all rows of b."""
-    d = np.zeros((len(a), len(b)), np.uint16)
-    for w in range(a.shape[1]):
-        d += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+    d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    for w in range(1, a.shape[1]):
+        d = d + np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.uint8 if 64 * a.shape[1] < 256 else np.uint16)
     return d
 
 
@@ -129,14 +141,14 @@ class Search:
 
     def __init__(self, prints: np.ndarray, size: np.ndarray, rank: np.ndarray, threshold: float):
         self.f, self.size, self.rank, self.t = prints, size.astype(np.int64), rank.astype(np.int64), threshold
+        self.reach = ((1 - threshold) * self.size + 1e-4).astype(np.float32)
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def direct(self, x: np.ndarray, y: np.ndarray, own: bool) -> None:
         step = max(1, 1_000_000 // max(1, len(y)))
         for i in range(0, len(x), step):
             p = x[i : i + step]
-            both = self.size[p][:, None] + self.size[y][None]
-            hit = distances(self.f[p], self.f[y]) <= (1 - self.t) * both + 1e-9
+            hit = distances(self.f[p], self.f[y]) <= self.reach[p][:, None] + self.reach[y][None]
             if own:
                 hit &= np.arange(i, i + len(p))[:, None] < np.arange(len(y))[None]
             a, b = np.nonzero(hit)
@@ -222,17 +234,20 @@ def _prints(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack([pdf[f"f{w}"].to_numpy().view(np.uint64) for w in range(WORDS)], 1)
 
 
-def sharded(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows with leaf, part and asks: shards above SHARD_ROWS spread over tree leaves, their queries over parts."""
+def sharded(rows: DataFrame, threshold: float, sizes: np.ndarray) -> DataFrame:
+    """rows with leaf, part and asks: shards above SHARD_ROWS spread over tree leaves, their queries over parts.
+
+    sizes are the rows of each token bucket, an upper bound for each of its tokens.
+    """
     spark = rows.sparkSession
-    n = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    limit = max(SHARD_ROWS, rows.count() // SPLIT_SHARDS)
-    large = n.where(F.col("n") > limit).toPandas()  # at most SPLIT_SHARDS
+    limit = max(SHARD_ROWS, int(sizes.sum()) // SPLIT_SHARDS)
+    large = np.flatnonzero(sizes > limit)
     none = {"leaf": F.lit(0), "part": F.lit(0), "asks": F.lit(False)}
     if not len(large):
         return rows.withColumns(none)
-    parts = spark.sparkContext.broadcast(dict(zip(large.token, np.ceil(large.n / limit).astype(int))))
-    hot = spark.createDataFrame(large[["token"]], "token bigint")
+    parts = spark.sparkContext.broadcast(np.maximum(1, -(-sizes // limit)).astype(np.int64))
+    hot = spark.createDataFrame(pd.DataFrame({"bucket": large.astype(np.int64)}), "bucket bigint")
+    rows = rows.withColumn("bucket", F.expr(f"token & {BUCKETS - 1}"))
     sample = rows.select("vid", *[f"f{w}" for w in range(WORDS)]).distinct().orderBy(F.xxhash64("vid")).limit(TREE_SAMPLE).toPandas()
     nodes = spark.sparkContext.broadcast(fit_tree(_prints(sample)))
 
@@ -244,7 +259,7 @@ def sharded(rows: DataFrame, threshold: float) -> DataFrame:
             order, own = leaves_of(nodes.value, f, np.zeros(len(pdf), np.int64))
             home = np.empty(len(pdf), np.int64)
             home[order] = own
-            k = pdf.token.map(parts.value).to_numpy()
+            k = parts.value[pdf.bucket.to_numpy()]
             at = np.repeat(np.arange(len(pdf)), k)
             part = np.arange(len(at)) - np.repeat(np.r_[0, np.cumsum(k)[:-1]], k)
             yield pdf.iloc[at].assign(leaf=home[at].astype(np.int32), part=part.astype(np.int32), asks=False)
@@ -257,8 +272,8 @@ def sharded(rows: DataFrame, threshold: float) -> DataFrame:
             yield pdf.iloc[at].assign(leaf=leaf.astype(np.int32), part=part, asks=True)
 
     schema = T.StructType([*rows.schema.fields, T.StructField("leaf", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("asks", T.BooleanType())])
-    cool = rows.join(F.broadcast(hot), "token", "left_anti").withColumns(none)
-    return cool.unionByName(rows.join(F.broadcast(hot), "token").mapInPandas(spread, schema))
+    cool = rows.join(F.broadcast(hot), "bucket", "left_anti").withColumns(none)
+    return cool.unionByName(rows.join(F.broadcast(hot), "bucket").select(*rows.columns).mapInPandas(spread, schema)).drop("bucket")
 
 
 def candidates(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -296,7 +311,8 @@ def candidates(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         b = np.concatenate([vid[y] for _, y in s.found] or [np.zeros(0, np.int64)])
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    rows = sharded(written(prefix_rows(titles, threshold)), threshold)
+    rows, sizes = prefix_rows(titles, threshold)
+    rows = sharded(rows, threshold, sizes)
     n = partitions(rows.sparkSession)
     return rows.repartition(n, *key).sortWithinPartitions(*key).mapInPandas(search, "a bigint, b bigint").where("a <> b").distinct()
 
