@@ -146,11 +146,15 @@ class Search:
 
     def direct(self, x: np.ndarray, y: np.ndarray, own: bool) -> None:
         step = max(1, 1_000_000 // max(1, len(y)))
+        if own:
+            step = min(step, max(32, len(x) // 8))
+        every = y
         for i in range(0, len(x), step):
             p = x[i : i + step]
+            y = every[i:] if own else every
             hit = distances(self.f[p], self.f[y]) <= self.reach[p][:, None] + self.reach[y][None]
             if own:
-                hit &= np.arange(i, i + len(p))[:, None] < np.arange(len(y))[None]
+                hit &= np.arange(len(p))[:, None] < np.arange(len(y))[None]
             a, b = np.nonzero(hit)
             a, b = p[a], y[b]
             # the token must lie in the prefix that these two sizes ask for
@@ -161,6 +165,19 @@ class Search:
     def radius(self, x: np.ndarray, y: np.ndarray) -> int:
         return int((1 - self.t) * (self.size[x].max() + self.size[y].max()) + 1e-9)
 
+    def shard(self, x: np.ndarray) -> None:
+        """Pairs within the rows of a token.
+
+        The smaller title of a near pair has the token among its rarest (1-t) size ones, so two rows that both
+        have it further behind are no pair by this token.
+        """
+        front = self.rank[x] <= (1 - self.t) * self.size[x] + 1e-9
+        a, b = x[front], x[~front]
+        if len(a) > 1:
+            self.own(a)
+        if len(a) and len(b):
+            self.cross(a, b)
+
     def own(self, x: np.ndarray) -> None:
         """Pairs within x."""
         if len(x) <= 384:
@@ -304,7 +321,7 @@ def candidates(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 at = np.arange(i, j)
                 q = asks[i:j]
                 if part[i] == 0:
-                    s.own(at[~q])
+                    s.shard(at[~q])
                 if q.any() and not q.all():
                     s.cross(at[q], at[~q])
         a = np.concatenate([vid[x] for x, _ in s.found] or [np.zeros(0, np.int64)])
