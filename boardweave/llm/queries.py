@@ -112,5 +112,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p3_found, p4_found, p5_found, p5_counts, p6_found, p7_found, p8_ids, p8_round_trip, p9_found, p10_found)}
 
 
+# Fixed values as in canonical: what stands for a missing account or title.
+P1_SQL = r"""with m as (select group_id, substr(generated_at, 1, 10) g, unnest(members) x from dedup_groups),
+c as (select group_id, x."文章链接" link, case when regexp_full_match(x."发布日期", '\d{4}-\d{2}-\d{2}') and try_cast(x."发布日期" as date) is not null and x."发布日期" <= g then x."发布日期" end d,
+ trim(coalesce(x."公众号", '')) not in ('', 'N/A', '未知', '—', 'null', '待补充') a,
+ trim(coalesce(x."文章标题", '')) not in ('', 'N/A', 'null', '-', '无标题', '分享图片', '（标题缺失）') and not regexp_matches(x."文章标题", '(…|⋯|\.\.|。。)\s*$') t
+ from m where trim(coalesce(x."文章链接", '')) <> ''),
+o as (select *, row_number() over (partition by group_id order by d desc nulls last, link) k from c),
+f as (select group_id, count(distinct link) n, arg_min(link, k) date_link, arg_min(link, k) filter (where a) account_link, arg_min(link, k) filter (where t) title_link from o group by 1)
+select group_id, account_link, date_link, title_link from f where n >= 2"""
+
+P4_SQL = """with recursive p as (select urls[1] a, urls[2] b from decided_pairs where duplicate and urls[1] <> urls[2]),
+l as (select group_id, list_distinct(list_filter(list_transform(members, lambda m: m."文章链接"), lambda u: u is not null)) u from dedup_groups),
+q as (select u[1] a, unnest(u[2:]) b from l where len(u) > 1), e as (select a, b from p union select b, a from p union select a, b from q union select b, a from q),
+r(v, w) as (select a, a from e union select r.v, e.b from r join e on e.a = r.w), g as (select v, min(w) w from r group by 1)
+select w group_link, v link from g where v <> w"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express; the others are tested in tests/llm."""
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL}
