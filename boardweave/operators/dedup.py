@@ -3,11 +3,12 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boardweave.functions import dims
 from boardweave.functions import titles as T
+from boardweave.operators.scratch import written
 
 
 def exact_groups(articles: DataFrame) -> DataFrame:
@@ -53,16 +54,14 @@ def _ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
 
 
 def _blocks(t: DataFrame, col: str, threshold: float) -> DataFrame:
-    """Candidate pairs by a prefix filter over numbered letters: lossless for ratio >= threshold."""
-    letters = t.select("id", F.col(col).alias("s")).where("s <> ''").select("id", "s", F.posexplode(F.split("s", "")).alias("p", "c")).where("c <> ''")
-    w = Window.partitionBy("id", "c").orderBy("p")
-    tok = letters.withColumn("tok", F.concat("c", F.row_number().over(w).cast("string"))).select("id", "s", "tok")
+    """Candidate pairs of ids by a prefix filter over numbered letters: lossless for ratio >= threshold."""
+    tok = t.select("id", F.size(col).alias("n"), F.explode(col).alias("tok"))
     rare = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("id").orderBy("df", "tok")
     r = threshold / (2 - threshold)
-    n = F.length("s")
-    pre = tok.join(rare, "tok").withColumn("k", F.row_number().over(order)).where(F.col("k") <= n - F.ceil(n * r - F.lit(1e-9)) + 1)
-    x, y = pre.select(F.col("id").alias("a"), "tok", n.alias("na")), pre.select(F.col("id").alias("b"), "tok", n.alias("nb"))
+    order = tok.join(rare, "tok").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
+    keep = F.col("n") - F.ceil(F.col("n") * r - F.lit(1e-9)).cast("int") + 1
+    pre = order.select("id", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("x")).select("id", "n", F.xxhash64("x.tok").alias("tok"))
+    x, y = pre.toDF("a", "na", "tok"), pre.toDF("b", "nb", "tok")
     fit = F.least("na", "nb") >= F.greatest("na", "nb") * r - 1e-9
     return x.join(y, "tok").where(fit & (F.col("a") < F.col("b"))).select("a", "b").distinct()
 
@@ -75,17 +74,22 @@ def similar(articles: DataFrame, brands: T.Brands | None = None, entity_at: floa
     brands = brands or T.Brands()
     a = articles.withColumn("norm", T.normalized(F.col("title"))).where("norm <> ''")
     t = a.groupBy("norm").agg(F.max(F.struct("date", "title")).alias("m")).select("norm", "m.date", "m.title")
+    # everything that depends on one title is made once, before pairs exist; rows are numbered by a written table
     t = t.withColumns({"ent": T.entity(F.col("title")), "brand": brands.effective(F.col("title"))})
-    t = t.withColumn("id", F.struct("date", "title", "norm"))
+    t = written(t.withColumns({"nn": _numbered("norm"), "en": _numbered("ent"), "id": F.monotonically_increasing_id()}))
     held = contained(articles).join(t.select(F.col("norm").alias("short"), F.col("id").alias("i")), "short").join(t.select(F.col("norm").alias("long"), F.col("id").alias("j")), "long")
-    pairs = _blocks(t, "norm", full_at).union(_blocks(t, "ent", entity_at)).union(held.select(F.least("i", "j"), F.greatest("i", "j"))).distinct()
-    l = t.select(F.col("id").alias("b"), F.col("norm").alias("nl"), F.col("ent").alias("el"), F.col("brand").alias("bl"))
-    r = t.select(F.col("id").alias("a"), F.col("norm").alias("nr"), F.col("ent").alias("er"), F.col("brand").alias("br"))
-    p = pairs.join(l, "b").join(r, "a").where(~brands.veto(F.col("bl"), F.col("br")))
+    pairs = _blocks(t, "nn", full_at).union(_blocks(t, "en", entity_at)).union(held.select(F.least("i", "j"), F.greatest("i", "j"))).distinct()
+    cols = ["date", "title", "norm", "ent", "brand", "nn", "en"]
+    side = lambda n: t.select(F.col("id").alias(n), F.struct(*cols).alias(f"s{n}"))
+    p = pairs.join(side("a"), "a").join(side("b"), "b")
+    later = F.struct("sa.date", "sa.title", "sa.norm") > F.struct("sb.date", "sb.title", "sb.norm")
+    p = p.select(F.when(later, F.col("sa")).otherwise(F.col("sb")).alias("l"), F.when(later, F.col("sb")).otherwise(F.col("sa")).alias("r"))
     # letters in common bound the ratio from above: drops most pairs before any Python
-    bag = lambda x, y: 2 * F.size(F.array_intersect(_numbered(x), _numbered(y))) / (F.length(x) + F.length(y))
-    inside = (F.least(F.length("nl"), F.length("nr")) >= 5) & (F.contains("nl", F.col("nr")) | F.contains("nr", F.col("nl")))
-    p = p.withColumn("inside", inside).where(F.col("inside") | (bag("nl", "nr") >= full_at - 1e-9) | (bag("el", "er") >= entity_at - 1e-9))
+    bag = lambda c: 2 * F.size(F.array_intersect(f"l.{c}", f"r.{c}")) / F.greatest(F.size(f"l.{c}") + F.size(f"r.{c}"), F.lit(1))
+    nl, nr = F.col("l.norm"), F.col("r.norm")
+    inside = (F.least(F.length(nl), F.length(nr)) >= 5) & (F.contains(nl, nr) | F.contains(nr, nl))
+    p = p.withColumn("inside", inside).where(F.col("inside") | (bag("nn") >= full_at - 1e-9) | (bag("en") >= entity_at - 1e-9))
+    p = p.where(~brands.veto(F.col("l.brand"), F.col("r.brand"))).select(nl.alias("nl"), nr.alias("nr"), F.col("l.ent").alias("el"), F.col("r.ent").alias("er"), "inside")
     ratio = F.pandas_udf(_ratio, "double")
     p = p.withColumns({"full": ratio("nl", "nr"), "entity": ratio("el", "er")})
     p = p.where((F.col("full") >= full_at) | (F.col("entity") >= entity_at) | F.col("inside"))
