@@ -1,18 +1,21 @@
 """Pages of repeated keywords, link lists or tags rather than sentences.
 
 Method: pointwise mutual information of neighbouring words from counts over the whole corpus. Words are Han
-characters, Latin words, numbers and signs; links are taken out first. The counts of words and of neighbouring
-pairs are kept in two hashed tables of fixed size, so what is broadcast is bounded however large the corpus.
+characters, Latin words, numbers and signs; links are taken out first. The counts of words, of neighbouring
+pairs and of pairs parted by a line break or by a space between Han characters are kept in three hashed tables of
+fixed size, so what is broadcast is bounded however large the corpus.
 
 A text is cut into sentences; what ends without a sentence mark is joined with what follows in the same way, as
 keywords run over many lines. A segment counts as stuffing when
 - most of its pairs are excessively repeated collocations: REPEATS times or more in it, and EXCESS times what
   the corpus leads to expect, that is, with a PMI of segment and pair of at least log EXCESS;
-- or it is a run of many short separate items and as incoherent as such runs are: its words' mean PMI does not
-  exceed COHERENT;
+- or it is a run of many short separate items and as incoherent as such runs are: of the joints of its items (the
+  last word of one with the first of the next) no more than a share COHERENT are collocations of unbroken text;
 - or it is made of links with labels.
-A page is flagged when such segments hold more than half of its characters, spaces aside. Mean PMI alone would
-not do: on these texts it is 5.0 to 7.0 bits in most Chinese runs of tags, and 5.4 to 8.6 in sentences.
+A page is flagged when such segments hold more than half of its characters, spaces aside. The mean PMI of all
+words would not do: on these texts it is 4.9 to 6.5 bits in Chinese runs of tags, and 5.3 to 7.8 in Chinese
+sentences. At the joints they differ: sentences broken over lines go on there as unbroken ones do elsewhere. The
+bound goes by script, as joints of English job names (teacher, engineer) are known more often than Chinese ones.
 
 Defined results: null, empty and blank texts are not flagged; repeated documents are judged alike; an empty table
 gives an empty result; whole texts of any length are read; other columns are not read.
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 
 #: Sizes of the hashed tables of word and pair counts.
 WORD_SLOTS, PAIR_SLOTS = 1 << 18, 1 << 20
-#: What makes a collocation excessive, and the mean PMI up to which a run of items is incoherent, in bits.
-REPEATS, EXCESS, COHERENT = 3, 5.0, 10.0
+#: What makes a collocation excessive.
+REPEATS, EXCESS = 3, 5.0
+#: Share of known joints up to which a run of items is incoherent, and times the expected count that make one known.
+COHERENT, KNOWN = {"han": 0.25, "latin": 0.65}, 2.0
 #: Items of a run, and units (Han characters; a Latin word counts four) that three quarters of them don't exceed.
 ITEMS, ITEM_UNITS = 6, 12
 #: Characters of label that a link may have.
@@ -44,6 +49,7 @@ WORD = regex.compile(r"\p{Han}|[^\W\d_\p{Han}]+|\d+|[^\s\w]|_")
 SENTENCE = regex.compile(r"[^\n。！？!?]*?(?:[。！？!?]+|\n+|(?<=[a-z)])\.(?=\s|\p{Han}|$)|$)", regex.S)
 ENDED = regex.compile(r"[。！？!?.]\s*$")
 ITEM = regex.compile(r"[^\p{L}\p{N}\s]+|\n+|(?<=\p{Han})\s+(?=\p{Han})")
+BREAK = regex.compile(r"\n+|(?<=\p{Han})\s+(?=\p{Han})")
 INVISIBLE = regex.compile(r"[\p{Cf}\x01]")
 UNIT = regex.compile(r"\p{Han}|\p{Latin}{4}")
 
@@ -79,8 +85,8 @@ def segments(text: str) -> list[str]:
 class Judge:
     """Scores texts with the corpus counts."""
 
-    def __init__(self, word_n: np.ndarray, pair_n: np.ndarray):
-        self.word_n, self.pair_n = word_n, pair_n
+    def __init__(self, word_n: np.ndarray, pair_n: np.ndarray, parted_n: np.ndarray):
+        self.word_n, self.pair_n, self.whole_n = word_n, pair_n, pair_n - parted_n
         self.all_words, self.all_pairs = max(1, int(word_n.sum())), max(1, int(pair_n.sum()))
 
     def stuffed(self, segment: str) -> bool:
@@ -98,11 +104,21 @@ class Judge:
         usual = self.pair_n[ps] / self.all_pairs * len(pairs)
         if np.mean((n >= REPEATS) & (n >= EXCESS * usual)) >= 0.5:
             return True
-        sizes = sorted(len(UNIT.findall(x)) if regex.search(r"\p{Han}", x) else 4 * len(x.split()) for x in ITEM.split(rest) if x.strip())
+        items = [x for x in ITEM.split(rest) if x.strip()]
+        sizes = sorted(len(UNIT.findall(x)) if regex.search(r"\p{Han}", x) else 4 * len(x.split()) for x in items)
         if len(sizes) < ITEMS or sizes[len(sizes) * 3 // 4] > ITEM_UNITS:
             return False
-        p, w = np.maximum(self.pair_n[ps], 1) / self.all_pairs, np.maximum(self.word_n[ws], 1) / self.all_words
-        return float(np.mean(np.log2(p / (w[:-1] * w[1:])))) <= COHERENT
+        script = "han" if len(regex.findall(r"\p{Han}", rest)) >= len(regex.findall(r"\p{Latin}", rest)) else "latin"
+        return self.known_joints(items) <= COHERENT[script]
+
+    def known_joints(self, items: list[str]) -> float:
+        """Share of the joints of neighbouring items that are collocations of unbroken text."""
+        parts = [w for x in items if (w := words(x))]
+        if len(parts) < 2:
+            return 0.0
+        ws, ps = slots([x for a, b in zip(parts, parts[1:]) for x in (a[-1], b[0])])
+        n, w = self.whole_n[ps[::2]], self.word_n[ws].astype(float)
+        return float(np.mean(n >= np.maximum(1, KNOWN * w[::2] * w[1::2] / self.all_words)))
 
     def share(self, text: str) -> float:
         """Part of the characters that belongs to stuffing."""
@@ -122,25 +138,33 @@ class Judge:
         return bad / total if total else 0.0
 
 
-def corpus_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of words and of neighbouring pairs over all texts, hashed: WORD_SLOTS + PAIR_SLOTS numbers at most."""
+def add(n: np.ndarray, text: str) -> None:
+    """Add a text to the three tables of counts, which lie one after the other."""
+    pieces = [words(x) for x in BREAK.split(LINK.sub(" ", text))]
+    found = [w for x in pieces for w in x]
+    if found:
+        w, p = slots(found)
+        np.add.at(n, w, 1)
+        np.add.at(n, WORD_SLOTS + p, 1)
+        ends = np.unique(np.cumsum([len(x) for x in pieces]))
+        np.add.at(n, WORD_SLOTS + PAIR_SLOTS + p[ends[(ends > 0) & (ends < len(found))] - 1], 1)
+
+
+def corpus_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of words, of neighbouring pairs and of parted ones over all texts, hashed: WORD_SLOTS + 2 PAIR_SLOTS numbers at most."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(WORD_SLOTS + PAIR_SLOTS, np.int64)
+        n = np.zeros(WORD_SLOTS + 2 * PAIR_SLOTS, np.int64)
         for pdf in batches:
             for t in pdf.text:
-                found = words(LINK.sub(" ", t))
-                if found:
-                    w, p = slots(found)
-                    np.add.at(n, w, 1)
-                    np.add.at(n, WORD_SLOTS + p, 1)
+                add(n, t)
         at = np.flatnonzero(n)
         yield pd.DataFrame({"slot": at, "n": n[at]})
 
     got = texts.mapInPandas(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(WORD_SLOTS + PAIR_SLOTS, np.int64)
+    n = np.zeros(WORD_SLOTS + 2 * PAIR_SLOTS, np.int64)
     n[got.slot.to_numpy()] = got.n.to_numpy()
-    return n[:WORD_SLOTS], n[WORD_SLOTS:]
+    return n[:WORD_SLOTS], n[WORD_SLOTS:-PAIR_SLOTS], n[-PAIR_SLOTS:]
 
 
 def shares(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

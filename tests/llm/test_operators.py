@@ -207,5 +207,16 @@ def test_stuffing(spark):
     assert stuffing.stuffed_pages(df.limit(0)).count() == 0
 
 
+def test_broken_sentences_are_no_run_of_items(spark):
+    english = "Interviews run over three rounds and the clinical monitor drew samples while the nurse kept notes on line scheduling before statistics"
+    chinese = "后来砚川的馆员在护理书架背面发现了阿璟留下的伺服标定草图并且逐行比较两地课程研发的误差"
+    broken = "\n".join(chinese[i : i + 3] for i in range(0, len(chinese), 3))
+    jobs = ["maths teacher", "test engineer", "buyer", "nurse", "clinical monitor", "quality lead", "optics", "legal associate"]
+    lines = "软件\n机械\n化工\n医护\n教师\n行政\n土木\n供应链\n法务"
+    docs = [(1, english + "."), (2, chinese + "。"), (3, english.replace(" ", "\n")), (4, broken), (5, "tags: " + " > ".join(jobs)), (6, lines), (7, lines), (8, "【软件】【机械】【化工】【医护】【教师】【行政】【土木】")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert sorted(r.id for r in stuffing.stuffed_pages(df).collect()) == [5, 6, 7, 8]
+
+
 def test_fold():
     assert fold_py("Ａｂ－1　二!") == "ab1二"
