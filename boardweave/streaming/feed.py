@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 from boardweave.operators.state import upsert
 
 
-def article_stream(spark: SparkSession, folder: str, schema: str, lateness: str = "14 days") -> DataFrame:
-    """New article files of a folder, without links repeated within the watermark."""
+def article_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """New article files of a folder, with all their rows."""
     s = spark.readStream.schema(schema).parquet(folder)
-    s = s.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))  # watermarks need an instant
-    return s.withWatermark("fetched_at", lateness).dropDuplicatesWithinWatermark(["文章链接"])
+    return s.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))  # watermarks need an instant
+
+
+def unrepeated(stream: DataFrame, lateness: str = "14 days") -> DataFrame:
+    """An article stream with the first row to come of each link within the watermark; what comes later than that is lost."""
+    return stream.withWatermark("fetched_at", lateness).dropDuplicatesWithinWatermark(["文章链接"])
 
 
 def upsert_batches(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: list[str], **trigger):
     """Every micro-batch upserted into a folder of versions; late rows are accepted whatever their date.
 
+    Of rows with the same keys the greatest by ``order`` stays, in whichever batches they come.
     A batch writes version n from version n-1, so a batch that is run again writes the same.
     """
 
@@ -26,7 +31,7 @@ def upsert_batches(stream: DataFrame, table: str, checkpoint: str, keys: list[st
         spark = batch.sparkSession
         fresh = batch.where(" and ".join(f"`{k}` is not null" for k in keys))
         old = spark.read.schema(batch.schema).parquet(f"{table}/{n - 1}") if n else spark.createDataFrame([], batch.schema)
-        upsert(old, fresh, keys, order).write.mode("overwrite").parquet(f"{table}/{n}")
+        upsert(old.limit(0), old.unionByName(fresh), keys, order).write.mode("overwrite").parquet(f"{table}/{n}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one).trigger(**(trigger or {"availableNow": True})).start()
 

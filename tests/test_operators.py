@@ -1,6 +1,7 @@
 """Operators against brute force and on edge cases."""
 
 import random
+from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -68,6 +69,21 @@ def test_limiter_ignores_rejected_attempts(spark):
     assert got == [True, True, False, False, True, True]
 
 
+def test_stream_keeps_the_newest_row_of_a_link(spark, tmp_path):
+    day = lambda n: datetime(2026, 6, 1) + timedelta(n)
+    schema = "row_id bigint, `文章链接` string, fetched_at timestamp"
+    parts = [[(1, "a", day(0)), (2, "a", day(100)), (3, "b", day(5)), (9, None, day(1))], [(4, "b", day(1)), (5, "c", day(0)), (7, "d", day(3)), (6, "d", day(3))], [(8, "a", day(50)), (10, "e", day(2))]]
+    at = {x: str(tmp_path / x) for x in ("in", "table", "checkpoint")}
+    for p in parts:  # one micro-batch each
+        spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(at["in"])
+        feed.upsert_batches(feed.article_stream(spark, at["in"], schema), at["table"], at["checkpoint"], ["文章链接"], ["fetched_at", "row_id"]).awaitTermination()
+    last = max(int(x.name) for x in (tmp_path / "table").iterdir())
+    rows = spark.createDataFrame([r for p in parts for r in p if r[1]], schema)
+    want = state.upsert(rows.limit(0), rows, ["文章链接"], ["fetched_at", "row_id"])
+    got = sorted(map(tuple, spark.read.parquet(f"{at['table']}/{last}").select(*want.columns).collect()))
+    assert got == sorted(map(tuple, want.collect())) and [r[0] for r in got] == [2, 3, 5, 7, 10]
+
+
 def test_reusable(spark):
     data = [("kept", 2, "x", True), ("skipped", 2, "x", True), ("kept", None, "中国电子2027届校园招聘", True), ("kept", None, "线下宣讲 | OPPO2027届全球校园招聘", False), ("skipped", None, "某高校教师招聘", False)]
     df = spark.createDataFrame(data, "kind string, v int, title string, want boolean")
