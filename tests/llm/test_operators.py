@@ -105,6 +105,39 @@ def test_repeats_by_link_copy_and_near_title(spark):
     assert incremental.repeated_rows(spark.createDataFrame([], s), "row_id", "batch_no", "t", "l").count() == 0
 
 
+def test_history_goes_on_where_another_object_left_it(spark, tmp_path):
+    s = "id bigint, title string, link string"
+    data = [
+        [(1, "甲乙丙丁戊己庚辛壬癸", "https://h/s/AAA"), (2, "别的一个很长很长的标题", None)], [(3, "癸子丑寅卯辰巳午未申", "https://h/s/AAA"), (4, "甲乙丙丁戊己庚辛壬癸新", None)],
+        [(5, "别的一个很长很长的标题", None), (6, "癸子丑寅卯辰巳午未申酉", None), (7, "从来没有过的另外一句", None)],
+    ]
+    batches = [spark.createDataFrame(d, s) for d in data]
+
+    def repeats(path, objects):
+        at = [incremental.History(spark, f"{tmp_path}/{path}") for _ in range(objects)]
+        for n, b in enumerate(batches):
+            (at[n] if objects > 1 else at[0]).append(b, n)
+        return sorted(map(tuple, incremental.History(spark, f"{tmp_path}/{path}").repeats().collect()))
+
+    assert repeats("one", 1) == repeats("many", 3) == [(3, 1), (4, 1), (5, 2), (6, 2)]
+    with pytest.raises(ValueError):
+        incremental.History(spark, f"{tmp_path}/one").append(batches[0], 0)
+
+
+def test_failed_batch_is_not_accepted(spark, tmp_path, monkeypatch):
+    s = "id bigint, title string, link string"
+    first, second = spark.createDataFrame([(1, "甲乙丙丁戊己庚辛壬癸", None)], s), spark.createDataFrame([(2, "甲乙丙丁戊己庚辛壬癸新", None)], s)
+    h = incremental.History(spark, f"{tmp_path}/h")
+    h.append(first, 0)
+    with monkeypatch.context() as m:
+        m.setattr(incremental.History, "_search", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            h.append(second, 1)
+    assert h.repeats().count() == 0
+    h.append(second, 1)
+    assert [tuple(r) for r in h.repeats().collect()] == [(2, 1)]
+
+
 def test_chunks_are_content_defined():
     a = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未"
     assert "".join(incremental.chunks(a)) == a and incremental.chunks("") == []
