@@ -138,6 +138,14 @@ def test_failed_batch_is_not_accepted(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in h.repeats().collect()] == [(2, 1)]
 
 
+def test_similarity_alone_decides_a_repeat(spark):
+    a, b = "辛丁戌戊天辰己午月子昃申玄庚卯未丑亥盈乙", "辛丁戌新天辰己午月子昃申玄庚卯未丑新盈乙"
+    shared = Counter(incremental.chunks(a)) & Counter(incremental.chunks(b))
+    assert sum(len(x) * n for x, n in shared.items()) == 0.2 * len(a)
+    df = spark.createDataFrame([(1, 0, a, None), (2, 1, b, None)], "row_id bigint, batch_no int, t string, l string")
+    assert [tuple(r) for r in incremental.repeated_rows(df, "row_id", "batch_no", "t", "l").collect()] == [(2, 1)]
+
+
 def test_chunks_are_content_defined():
     a = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未"
     assert "".join(incremental.chunks(a)) == a and incremental.chunks("") == []
