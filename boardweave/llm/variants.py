@@ -6,7 +6,7 @@ Different typed values are read once each (names.Lists takes off cities, legal f
 reduced to different names: core, line of business, script. Names get MinHash signatures over the padded q-grams
 of their core, in two spaces: of its characters, and of its sound, in which Chinese and Latin spellings meet.
 How many bands each space has follows from the collision curve: the least number for which a pair at the
-similarity that one slip leaves is found with probability RECALL. Candidates whose lines of business differ are
+similarity that one slip leaves (in Latin the slips that LATIN_ALIKE accepts) is found with probability RECALL. Candidates whose lines of business differ are
 dropped; the rest are verified by Monge-Elkan similarity: of each token of one name the best match in the other,
 averaged, in both directions, the smaller counts. Star clustering then makes the name with most verified links
 the centre of a star, ties by frequency and then by the name, takes its neighbours as its satellites and goes on
@@ -34,12 +34,24 @@ from boardweave.llm.near_titles import mix
 
 #: Probability with which a pair at the given similarity shares a band.
 RECALL = 0.999
-#: Per space: q, rows of a band, similarity that one slip leaves.
-SPACES = {"letters": (2, 2, 0.5), "sound": (3, 3, 0.65)}
 #: Monge-Elkan similarity from which two names are one.
 ALIKE = 0.72
 #: Similarity of two Latin spellings (1 - edits / length) from which they are one.
 LATIN_ALIKE = 0.8
+#: Letters of the Latin cores of listed names.
+LATIN_LETTERS = range(9, 18)
+
+
+def slipped(q: int, letters: int) -> float:
+    """Similarity of the padded q-grams that the slips accepted by LATIN_ALIKE leave at worst: swaps, which spoil q + 1 grams each."""
+    spoiled = (q + 1) * int((1 - LATIN_ALIKE) * letters + 1e-9)
+    return (letters + q - 1 - spoiled) / (letters + q - 1 + spoiled)
+
+
+#: Per space: q, rows of a band, similarity that one slip leaves, in Latin all accepted ones.
+SPACES = {"letters": (2, 2, 0.5), "sound": (3, 3, min(slipped(3, n) for n in LATIN_LETTERS))}
+#: Band keys that are handed on at once.
+KEYS = 1 << 19
 
 
 def bands(rows: int, similarity: float, recall: float = RECALL) -> int:
@@ -118,6 +130,9 @@ def band_rows(named: DataFrame) -> DataFrame:
                         key = mix(key * np.uint64(31) + low[:, r])
                     keys.append(mix(key ^ mix(np.arange(n, dtype=np.uint64) + np.uint64(1000 * at))))
                     ids.append(np.full(n, i))
+                if sum(map(len, ids)) >= KEYS:
+                    yield pd.DataFrame({"band": np.concatenate(keys).view(np.int64), "id": np.concatenate(ids)})
+                    ids, keys = [], []
             if ids:
                 yield pd.DataFrame({"band": np.concatenate(keys).view(np.int64), "id": np.concatenate(ids)})
 

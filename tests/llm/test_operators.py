@@ -196,6 +196,18 @@ def test_bands_reach_the_recall():
         assert 1 - (1 - s**rows) ** n >= variants.RECALL > 1 - (1 - s**rows) ** (n - 1)
 
 
+def test_sound_bands_reckon_with_all_accepted_slips():
+    rng, (q, _, least) = random.Random(6), variants.SPACES["sound"]
+    for _ in range(2000):
+        a = b = "".join(rng.sample("abcdefghijklmnopqrstuvwxy", rng.randint(9, 17)))
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(len(b) - 1)
+            b = b[:k] + rng.choice([b[k + 1] + b[k] + b[k + 2 :], "z" + b[k + 1 :], b[k + 1 :], "z" + b[k:]])
+        if variants.alike(a, True, a, b, True, b):
+            x, y = variants.padded(a, q), variants.padded(b, q)
+            assert len(x & y) / len(x | y) >= least
+
+
 def test_token_ids(spark):
     import tiktoken
     from pathlib import Path
