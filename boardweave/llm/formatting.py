@@ -3,95 +3,112 @@
 Method: canonical records are range-partitioned and sorted (Spark sorts externally, spilling to disk),
 then one scan over adjacent runs compares the full keys.
 
-The canonical record of a title is made inside the JVM: half-width, lower case, letters and digits only.
-The order of a title's parts can't be made canonical by splitting, because the signs that part a title
-(blank, dot, bar) are also the noise that is strewn into its words. So records are sorted by the sorted
-letters of the title, which no order of parts changes, and the scan then compares the full keys: two
-records of a run are copies when every unbroken stretch of either stands unbroken in the other. That
-rejects titles with the same letters in another order (12 for 21, two words swapped inside a part).
+The canonical record of a title is made inside the JVM: half-width, lower case, letters and digits only, with one
+blank where signs stood. The order of a title's parts can't be made canonical by splitting, because the signs that
+part a title (blank, dot, bar) are also the noise that is strewn into its words. So records are range-partitioned
+and sorted by a hash of the title's sorted letters, which no order of parts changes, and the scan then compares the
+full keys: two forms of a run are copies when every unbroken stretch of either stands unbroken in the other, in any
+of the ways in which rows of these forms are split. That rejects titles with the same letters in another order (12
+for 21, two words swapped inside a part).
 
 Defined results: null and blank titles (no letter or digit) are no copies of anything and give no row;
-a title of its own has one copy, itself; repeated rows (equal id and title) count once each; an empty
+a title of its own has one copy, itself; repeated rows (equal id and title) count once each; rows without an id
+are left out; an empty
 table gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardweave.functions.width import NON_WORD, folded, half_width
+from boardweave.functions.width import NON_WORD, half_width
 from boardweave.llm.common import partitions, written
 
-RUNS = "letters string, form string, stretches array<string>, first_id bigint, n bigint"
 
+def spaced(text: Column) -> Column:
+    """The unbroken stretches of letters and digits of a title, parted by one blank; '' for null."""
+    return F.trim(F.regexp_replace(F.lower(half_width(F.coalesce(text, F.lit("")))), NON_WORD, " "))
 
-def stretches(text: Column) -> Column:
-    """The unbroken stretches of letters and digits of a title."""
-    return F.filter(F.split(F.lower(half_width(text)), NON_WORD), lambda x: x != "")
+
+def unspaced(s: Column) -> Column:
+    """The form of a spaced title: equal to folded() of its text."""
+    return F.replace(s, F.lit(" "), F.lit(""))
+
+
+def form_key(form: Column) -> Column:
+    """16 bytes that stand for a form in joins."""
+    return F.unhex(F.md5(form))
 
 
 def forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per different canonical form, pre-aggregated before it is shuffled: hot titles shrink to one row."""
-    t = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    t = t.withColumn("form", folded(F.col("text"))).where("form <> ''")
-    first = F.min(F.struct("id", stretches(F.col("text")).alias("s")))
-    g = t.groupBy("form").agg(first.alias("m"), F.count(F.lit(1)).alias("n"))
-    letters = F.array_join(F.array_sort(F.split("form", "")), "")
-    return g.select(letters.alias("letters"), "form", F.col("m.s").alias("stretches"), F.col("m.id").alias("first_id"), "n")
-
-
-def _same(a, b) -> bool:
-    """Whether two forms with the same letters are the same title with its parts in another order."""
-    return all(x in b.form for x in a.stretches) and all(x in a.form for x in b.stretches)
-
-
-def _classes(run: list) -> list[list]:
-    """The copies within one run of forms with equal letters, each class headed by its smallest id."""
-    found: list[list] = []
-    for row in sorted(run, key=lambda r: r.first_id):
-        for c in found:
-            if _same(c[0], row):
-                c.append(row)
-                break
-        else:
-            found.append([row])
+    """letters, s, first_id, n: each different spaced title, pre-aggregated before it is shuffled: hot titles shrink to one row."""
+    t = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), spaced(F.col(f"`{text_col}`")).alias("s")).where("s <> '' and id is not null")
+    g = t.groupBy("s").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    return g.select(F.xxhash64(F.sort_array(F.split(unspaced(F.col("s")), ""))).alias("letters"), "s", "first_id", "n")
+
+
+class _Form:
+    """A form of a run, with the ways in which its rows split it."""
+
+    def __init__(self, text: str):
+        self.text, self.splits, self.first, self.n = text, [], math.inf, 0
+
+    def add(self, s: str, first: int, n: int) -> None:
+        self.splits.append(s.split(" "))
+        self.n += n
+        self.first = min(first, self.first)
+
+    def same(self, other: "_Form") -> bool:
+        """Whether two forms are the same title with its parts in another order."""
+        return sorted(self.text) == sorted(other.text) and any(all(x in other.text for x in a) for a in self.splits) and any(all(x in self.text for x in b) for b in other.splits)
+
+
+def _classes(run: list[_Form]) -> list[list[_Form]]:
+    """The copies within one run, each class headed by its smallest id."""
+    found: list[list[_Form]] = []
+    for f in sorted(run, key=lambda f: f.first):
+        hit = [c for c in found if any(f.same(x) for x in c)]
+        rest = [c for c in found if not any(c is h for h in hit)]
+        found = [*rest, [*(x for c in hit for x in c), f]]
     return found
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def out(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["form", "keep_id", "n", "copies"])
-
-    run: list = []
-    for pdf in batches:
-        rows = []
-        for r in pdf.itertuples(index=False):
-            if run and run[0].letters != r.letters:
-                rows += _heads(run)
-                run = []
-            run.append(r)
-        yield out(rows)
-    yield out(_heads(run))
+    key, run = None, {}
 
+    def closed(run: dict) -> list[tuple]:
+        if len(run) == 1:
+            return [(f.text, f.first, f.n, f.n) for f in run.values()]
+        return [(f.text, c[0].first, f.n, sum(x.n for x in c)) for c in _classes(list(run.values())) for f in c]
 
-def _heads(run: list) -> list[tuple]:
-    if len(run) == 1:
-        return [(run[0].form, run[0].first_id, run[0].n, run[0].n)]
-    return [(r.form, c[0].first_id, r.n, sum(x.n for x in c)) for c in _classes(run) for r in c] if run else []
+    for pdf in batches:
+        rows: list[tuple] = []
+        for letters, s, first, n in zip(pdf.letters.tolist(), pdf.s.tolist(), pdf.first_id.tolist(), pdf.n.tolist()):
+            if letters != key:
+                if run:
+                    rows += closed(run)
+                key, run = letters, {}
+            text = s.replace(" ", "")
+            if text not in run:
+                run[text] = _Form(text)
+            run[text].add(s, first, n)
+        yield pd.DataFrame(rows, columns=["form", "keep_id", "n", "copies"])
+    yield pd.DataFrame(closed(run) if run else [], columns=["form", "keep_id", "n", "copies"])
 
 
 def copy_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """form, keep_id, n, copies: each different form, the smallest id of its copies, its own rows and all copies.
 
-    A form is one row here however many rows have it, so no run of the scan holds more than the orders
-    in which the parts of one title were written.
+    A spaced title is one row here however many rows have it, so no run of the scan holds more than the ways
+    in which the parts of one title were split and ordered.
     """
     f = forms(df, id_col, text_col)
-    ranged = f.repartitionByRange(partitions(df.sparkSession), "letters").sortWithinPartitions("letters", "form")
+    ranged = f.repartitionByRange(partitions(df.sparkSession), "letters").sortWithinPartitions("letters")
     return ranged.mapInPandas(_scan, "form string, keep_id bigint, n bigint, copies bigint")
 
 
@@ -104,6 +121,7 @@ def copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """keep_id, copy_id: one row for each copy of a title besides the kept one."""
     from boardweave.llm.common import salted_join
 
-    classes = written(copy_classes(df, id_col, text_col).where("copies > 1").drop("copies"))
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("copy_id"), folded(F.col(f"`{text_col}`")).alias("form"))
+    classes = written(copy_classes(df, id_col, text_col).where("copies > 1").select("keep_id", "n", form_key(F.col("form")).alias("form")))
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("copy_id"), spaced(F.col(f"`{text_col}`")).alias("s")).where("s <> '' and copy_id is not null")
+    rows = rows.select("copy_id", form_key(unspaced(F.col("s"))).alias("form"))
     return salted_join(rows, classes, "form", "n").where("copy_id <> keep_id").select("keep_id", "copy_id")
