@@ -10,8 +10,10 @@ A tree over the whole collection would visit most leaves (unrelated titles are a
 any vantage point), so the collection is first cut into shards that any two near titles share: the prefix
 filter. Letter pairs are ordered by global rarity and a title stands in the shards of its rarest pairs only;
 two titles within reach agree on at least one of them. Inside a shard a vantage-point tree prunes by the
-triangle bound. Shards with more than a bounded number of rows are split over the leaves of a tree fitted on
-a bounded sample: a row lives in one leaf and asks every other leaf that its search ball overlaps.
+triangle bound, down to leaves of LEAF rows; where the bound excludes less than PRUNES of a node's pairs, as it does
+among unrelated titles, the node's pairs are compared as they are. Shards with more than a bounded number of rows
+are split over the leaves of a tree fitted on a bounded sample, and over parts of a leaf: a row lives in one part of
+one leaf and asks all parts of the other leaves that its search ball overlaps.
 
 Defined results: null and blank titles, and titles of a single letter, are near nothing; equal forms (copies)
 are one vertex; repeated rows change nothing; an empty table gives an empty result; other columns are not read.
@@ -26,72 +28,26 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from boardweave.functions.width import folded
-from boardweave.llm.common import partitions, salted_join, written
+from boardweave.llm.blocks import AT_ONCE, BUCKETS, WORDS, bucket_keys, distances, letter_pairs, levels, mix, numbered, packed, prints_of, unpacked
+from boardweave.llm.common import dropped, partitions, salted_join, written
 from boardweave.llm.components import components
-from boardweave.llm.formatting import copy_classes
+from boardweave.llm.formatting import copy_classes, form_key, spaced, unspaced
 
 #: Similarity from which titles are near: 2 * common pairs / pairs of both.
 THRESHOLD = 0.7
-#: Size of the table of letter-pair counts that orders letter pairs by rarity; any order is correct, a good one is fast.
-BUCKETS = 1 << 18
-#: Bits of a fingerprint, as 64-bit words.
-WORDS = 2
-#: Rows from which a shard is split, and the most shards that may be split.
-SHARD_ROWS, SPLIT_SHARDS = 20_000, 100_000
+#: Rows from which a shard is split.
+SHARD_ROWS = 20_000
 #: Fingerprints on which the tree that splits large shards is fitted, and its leaves.
 TREE_SAMPLE, TREE_LEAVES = 4_096, 64
+#: Rows of a tree's leaf inside a shard, and the share of pairs that a vantage point must exclude to be used.
+LEAF, PRUNES = 32, 0.2
+#: Pairs compared at once.
+BLOCK = 1 << 15
+#: Shard rows of a shuffle bucket: what one task sorts in memory at once.
+ROWS_PER_BUCKET = 1_000_000
 
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
-    x = x.astype(np.uint64)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def letter_pairs(texts) -> tuple[np.ndarray, np.ndarray]:
-    """(title number, hash) of every neighbouring pair of letters of a batch of titles."""
-    codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in texts]
-    sizes = np.array([len(c) for c in codes], dtype=np.int64)
-    if not sizes.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    flat = np.concatenate(codes).astype(np.uint64)
-    owner = np.repeat(np.arange(len(codes)), sizes)
-    same = owner[1:] == owner[:-1]
-    return owner[:-1][same], mix((flat[:-1][same] << np.uint64(21)) | flat[1:][same])
-
-
-def pair_counts(titles: DataFrame) -> np.ndarray:
-    """How often letter pairs of each bucket occur in all titles. Bounded: BUCKETS numbers."""
-    return bucket_sums(titles.select("form"), lambda pdf: (letter_pairs(pdf.form)[1] % np.uint64(BUCKETS)).astype(np.int64))
-
-
-def prefixes(pdf: pd.DataFrame, counts: np.ndarray, threshold: float):
-    """(owner, token, rank, size, prints) of the rarest letter pairs of a batch of titles."""
-    owner, h = letter_pairs(pdf.form)
-    order = np.lexsort((h, owner))
-    owner, h = owner[order], h[order]
-    start = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])]
-    at = np.arange(len(owner))
-    nth = at - np.maximum.accumulate(np.where(start[: len(owner)], at, 0))
-    token = mix(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    # the fingerprint: parity of the tokens in each slot
-    bit = (token >> np.uint64(20)) % np.uint64(64 * WORDS)
-    prints = np.zeros((len(pdf), WORDS), np.uint64)
-    np.bitwise_xor.at(prints, (owner, (bit // np.uint64(64)).astype(np.int64)), np.uint64(1) << (bit % np.uint64(64)))
-    size = np.bincount(owner, minlength=len(pdf))
-    order = np.lexsort((token, counts[(h % np.uint64(BUCKETS)).astype(np.int64)], owner))
-    owner, token = owner[order], token[order]
-    first = np.r_[0, np.cumsum(size)[:-1]]
-    rank = at - first[owner]
-    keep = rank <= size[owner] - np.ceil(size[owner] * threshold / (2 - threshold) - 1e-9)
-    return owner[keep], token[keep], rank[keep], size, prints
+TITLE = np.dtype([("vid", "<i8"), ("size", "<u4"), ("f", "<u8", (WORDS,))])
 
 
 def bucket_sums(df: DataFrame, buckets_of) -> np.ndarray:
@@ -110,30 +66,24 @@ def bucket_sums(df: DataFrame, buckets_of) -> np.ndarray:
     return out
 
 
-def prefix_rows(titles: DataFrame, threshold: float) -> tuple[DataFrame, np.ndarray]:
-    """token, vid, size, rank, f0..: the rarest letter pairs of each title, with its fingerprint; rows by token bucket.
-
-    The buckets' sizes are summed in a pass of their own, which sends on no rows: cheaper than keeping the rows,
-    which are many times the input, until their shards have been counted.
-    """
-    counts = titles.sparkSession.sparkContext.broadcast(pair_counts(titles))
-    sizes = bucket_sums(titles.select("form"), lambda pdf: (prefixes(pdf, counts.value, threshold)[1] & np.uint64(BUCKETS - 1)).astype(np.int64))
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            owner, token, rank, size, prints = prefixes(pdf, counts.value, threshold)
-            yield pd.DataFrame({"token": token.view(np.int64), "vid": pdf.vid.to_numpy()[owner], "size": size[owner].astype(np.int32), "rank": rank.astype(np.int32)} | {f"f{w}": prints[owner, w].view(np.int64) for w in range(WORDS)})
-
-    words = ", ".join(f"f{w} bigint" for w in range(WORDS))
-    return titles.select("vid", "form").mapInPandas(rows, f"token bigint, vid bigint, size int, rank int, {words}"), sizes
+def pair_counts(titles: DataFrame) -> np.ndarray:
+    """How often letter pairs of each bucket occur in all titles. Bounded: BUCKETS numbers."""
+    return bucket_sums(titles.select("form"), lambda pdf: (letter_pairs(pdf.form)[1] % np.uint64(BUCKETS)).astype(np.int64))
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances of all rows of a to all rows of b."""
-    d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
-    for w in range(1, a.shape[1]):
-        d = d + np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.uint8 if 64 * a.shape[1] < 256 else np.uint16)
-    return d
+def prefixes(forms, level: np.ndarray, threshold: float):
+    """owner, bucket of h, token, rank of the rarest letter pairs of a batch of titles; size, prints of its titles."""
+    owner, h, token = numbered(*letter_pairs(forms))
+    prints = prints_of(owner, token, len(forms))
+    size = np.bincount(owner, minlength=len(forms))
+    slot = (h % np.uint64(BUCKETS)).astype(np.int64)
+    # by title, rarity, then a hash of the token
+    order = np.argsort((owner.astype(np.uint64) << np.uint64(48)) | (level[slot].astype(np.uint64) << np.uint64(36)) | (token >> np.uint64(28)), kind="stable")
+    owner, slot, token = owner[order], slot[order], token[order]
+    first = np.r_[0, np.cumsum(size)[:-1]] if len(size) else np.zeros(0, np.int64)
+    rank = np.arange(len(owner)) - first[owner]
+    keep = rank <= size[owner] - np.ceil(size[owner] * threshold / (2 - threshold) - 1e-9)
+    return owner[keep], slot[keep], token[keep], rank[keep], size, prints
 
 
 class Search:
@@ -141,29 +91,66 @@ class Search:
 
     def __init__(self, prints: np.ndarray, size: np.ndarray, rank: np.ndarray, threshold: float):
         self.f, self.size, self.rank, self.t = prints, size.astype(np.int64), rank.astype(np.int64), threshold
-        self.reach = ((1 - threshold) * self.size + 1e-4).astype(np.float32)
+        # a row's part of the radius, and the same cut to bytes: distances have at most 64 * WORDS
+        self.reach = (1 - threshold) * self.size + 1e-6
+        self.near = np.minimum(self.reach, 64 * WORDS).astype(np.uint8)
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.tried = self.used = self.pruned = self.compared = 0
+
+    def keep(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Of pairs that passed the fingerprints, those whose token lies in the prefix that their sizes ask for."""
+        need = np.ceil(self.t * (self.size[a] + self.size[b]) / 2 - 1e-9)
+        ok = (self.rank[a] + need <= self.size[a]) & (self.rank[b] + need <= self.size[b])
+        self.found.append((a[ok], b[ok]))
 
     def direct(self, x: np.ndarray, y: np.ndarray, own: bool) -> None:
-        step = max(1, 1_000_000 // max(1, len(y)))
+        """All pairs of x and y (own: within x) against their radius, in blocks that stay in the processor's cache."""
+        self.compared += len(x) * (len(x) - 1) // 2 if own else len(x) * len(y)
+        fx, fy = self.f[x], np.ascontiguousarray(self.f[y].T)
+        nx, ny = self.near[x], self.near[y] + 1  # 2 * 128 + 1 doesn't fit into bytes, but then every pair is near
+        full = int(nx.max()) + int(ny.max()) > 255
+        wide = min(len(y), BLOCK)
+        rows = max(1, BLOCK // wide)
         if own:
-            step = min(step, max(32, len(x) // 8))
-        every = y
-        for i in range(0, len(x), step):
-            p = x[i : i + step]
-            y = every[i:] if own else every
-            hit = distances(self.f[p], self.f[y]) <= self.reach[p][:, None] + self.reach[y][None]
-            if own:
-                hit &= np.arange(len(p))[:, None] < np.arange(len(y))[None]
-            a, b = np.nonzero(hit)
-            a, b = p[a], y[b]
-            # the token must lie in the prefix that these two sizes ask for
-            need = np.ceil(self.t * (self.size[a] + self.size[b]) / 2 - 1e-9)
-            ok = (self.rank[a] + need <= self.size[a]) & (self.rank[b] + need <= self.size[b])
-            self.found.append((a[ok], b[ok]))
+            rows = min(rows, max(LEAF, len(x) // 8))
+        word, dist, more, hit = (np.empty((rows, wide), t) for t in (np.uint64, np.uint8, np.uint8, bool))
+        for i in range(0, len(x), rows):
+            part = fx[i : i + rows]
+            h = len(part)
+            for j in range(i if own else 0, len(y), wide):
+                other = fy[:, j : j + wide]
+                w = other.shape[1]
+                v, d, e, ok = word[:h, :w], dist[:h, :w], more[:h, :w], hit[:h, :w]
+                np.bitwise_count(np.bitwise_xor(part[:, :1], other[:1], out=v), out=d)
+                for k in range(1, WORDS):
+                    np.bitwise_count(np.bitwise_xor(part[:, k : k + 1], other[k : k + 1], out=v), out=e)
+                    np.add(d, e, out=d)
+                if full:
+                    ok = d <= nx[i : i + h, None].astype(np.int64) + ny[None, j : j + w]
+                else:
+                    np.less_equal(d, np.add(nx[i : i + h, None], ny[None, j : j + w], out=e), out=ok)
+                at = np.flatnonzero(ok)
+                if len(at):
+                    a, b = at // w + i, at % w + j
+                    if own:
+                        a, b = a[a < b], b[a < b]
+                    self.keep(x[a], y[b])
+
+    def leaves(self, start: np.ndarray, end: np.ndarray) -> None:
+        """Pairs within each of many leaves (rows start to end, at most LEAF each), all leaves at once."""
+        n = end - start
+        rows = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+        ends = np.repeat(end, n)
+        self.compared += int((n * (n - 1) // 2).sum())
+        for k in range(1, int(n.max()) if len(n) else 0):
+            a = rows[rows + k < ends]
+            d = np.bitwise_count(self.f[a] ^ self.f[a + k]).sum(1, dtype=np.int64)
+            a = a[d <= self.reach[a] + self.reach[a + k]]
+            if len(a):
+                self.keep(a, a + k)
 
     def radius(self, x: np.ndarray, y: np.ndarray) -> int:
-        return int((1 - self.t) * (self.size[x].max() + self.size[y].max()) + 1e-9)
+        return int(self.reach[x].max() + self.reach[y].max())
 
     def shard(self, x: np.ndarray) -> None:
         """Pairs within the rows of a token.
@@ -180,16 +167,17 @@ class Search:
 
     def own(self, x: np.ndarray) -> None:
         """Pairs within x."""
-        if len(x) <= 384:
+        if len(x) <= LEAF:
             return self.direct(x, x, True)
+        self.tried += 1
         d = distances(self.f[x[:1]], self.f[x])[0].astype(np.int64)
         mid, r = int(np.median(d)), self.radius(x, x)
         near, far = x[d <= mid], x[d > mid]
-        if not len(far) or not len(near):
-            return self.direct(x, x, True)
         a, b = x[(d <= mid) & (d >= mid - r)], x[(d > mid) & (d <= mid + r)]
-        if len(a) * len(b) > 0.8 * len(near) * len(far):  # the bound prunes too little to be worth more vantage points
+        rest = len(near) * len(far) - len(a) * len(b)
+        if rest <= PRUNES * len(x) * (len(x) - 1) / 2:
             return self.direct(x, x, True)
+        self.used, self.pruned = self.used + 1, self.pruned + rest
         self.own(near)
         self.own(far)
         if len(a) and len(b):
@@ -197,13 +185,16 @@ class Search:
 
     def cross(self, x: np.ndarray, y: np.ndarray) -> None:
         """Pairs of one of x and one of y."""
-        if len(x) * len(y) <= 150_000:
+        if len(x) * len(y) <= LEAF * LEAF:
             return self.direct(x, y, False)
+        self.tried += 1
         dx, dy = (distances(self.f[y[:1]], self.f[z])[0].astype(np.int64) for z in (x, y))
         mid, r = int(np.median(dy)), self.radius(x, y)
         parts = [(x[dx <= mid + r], y[dy <= mid]), (x[dx > mid - r], y[dy > mid])]
-        if sum(len(a) * len(b) for a, b in parts) > 0.8 * len(x) * len(y):
+        rest = len(x) * len(y) - sum(len(a) * len(b) for a, b in parts)
+        if rest <= PRUNES * len(x) * len(y):
             return self.direct(x, y, False)
+        self.used, self.pruned = self.used + 1, self.pruned + rest
         for a, b in parts:
             if len(a) and len(b):
                 self.cross(a, b)
@@ -247,91 +238,140 @@ def leaves_of(nodes: list[tuple], prints: np.ndarray, radius: np.ndarray) -> tup
     return np.concatenate(rows), np.concatenate(leaves)
 
 
-def _prints(pdf: pd.DataFrame) -> np.ndarray:
-    return np.stack([pdf[f"f{w}"].to_numpy().view(np.uint64) for w in range(WORDS)], 1)
-
+def spread(token: np.ndarray, slot: np.ndarray, title: np.ndarray, vid: np.ndarray, size: np.ndarray, prints: np.ndarray, parts: np.ndarray, nodes: list, threshold: float):
+    """row, shard, asks: where each prefix row lives, and for tokens of split shards the other places that it asks.
 
-def sharded(rows: DataFrame, threshold: float, sizes: np.ndarray) -> DataFrame:
-    """rows with leaf, part and asks: shards above SHARD_ROWS spread over tree leaves, their queries over parts.
-
-    sizes are the rows of each token bucket, an upper bound for each of its tokens.
+    parts is the number of parts of each token bucket. Of two rows in different places the one in the earlier place
+    asks the later one, so every pair meets once.
+    """
+    k = parts[slot]
+    hot = np.flatnonzero(k > 1)
+    place = np.zeros(len(token), np.uint64)
+    at, there = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(hot):
+        who, back = np.unique(title[hot], return_inverse=True)
+        order, own = leaves_of(nodes, prints[who], np.zeros(len(who), np.int64))
+        home = np.empty(len(who), np.int64)
+        home[order] = own
+        part = (mix(vid[title[hot]].astype(np.uint64)) % k[hot].astype(np.uint64)).astype(np.int64)
+        place[hot] = home[back] * (1 << 24) + part
+        # a partner has at most size * (2-t)/t pairs, so this ball holds all partners
+        reach = ((1 - threshold) * size[who] * (1 + (2 - threshold) / threshold) + 1e-9).astype(np.int64)
+        row, leaf = leaves_of(nodes, prints[who], reach)
+        by = np.argsort(row, kind="stable")
+        row, leaf = row[by], leaf[by]
+        first, n = np.searchsorted(row, np.arange(len(who))), np.bincount(row, minlength=len(who))
+        # every leaf that the title overlaps, for each of its hot rows
+        i = np.repeat(np.arange(len(hot)), n[back])
+        leaf = leaf[np.repeat(first[back], n[back]) + np.arange(len(i)) - np.repeat(np.cumsum(n[back]) - n[back], n[back])]
+        ok = leaf >= home[back][i]
+        i, leaf = i[ok], leaf[ok]
+        # and every part of these leaves
+        m = k[hot][i]
+        j = np.repeat(np.arange(len(i)), m)
+        to = leaf[j] * (1 << 24) + np.arange(len(j)) - np.repeat(np.cumsum(m) - m, m)
+        at, later = hot[i[j]], to > place[hot[i[j]]].astype(np.int64)
+        at, there = at[later], to[later].astype(np.uint64)
+    row = np.r_[np.arange(len(token)), at]
+    shard = mix(token[row] ^ mix(np.r_[place, there])) & np.uint64(0xFFFFFFFF)
+    return row, shard, np.r_[np.zeros(len(token), bool), np.ones(len(at), bool)]
+
+
+def candidates(titles: DataFrame, threshold: float = THRESHOLD, watch=None) -> DataFrame:
+    """a, b: pairs of titles whose fingerprints are within the radius; a superset of all near pairs.
+
+    watch: an accumulator of numpy arrays, to which vantage points tried and used, and pairs pruned and compared, are added.
     """
-    spark = rows.sparkSession
-    limit = max(SHARD_ROWS, int(sizes.sum()) // SPLIT_SHARDS)
-    large = np.flatnonzero(sizes > limit)
-    none = {"leaf": F.lit(0), "part": F.lit(0), "asks": F.lit(False)}
-    if not len(large):
-        return rows.withColumns(none)
-    parts = spark.sparkContext.broadcast(np.maximum(1, -(-sizes // limit)).astype(np.int64))
-    hot = spark.createDataFrame(pd.DataFrame({"bucket": large.astype(np.int64)}), "bucket bigint")
-    rows = rows.withColumn("bucket", F.expr(f"token & {BUCKETS - 1}"))
-    sample = rows.select("vid", *[f"f{w}" for w in range(WORDS)]).distinct().orderBy(F.xxhash64("vid")).limit(TREE_SAMPLE).toPandas()
-    nodes = spark.sparkContext.broadcast(fit_tree(_prints(sample)))
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spark = titles.sparkSession
+    counts = pair_counts(titles)
+    parts = np.maximum(1, -(-counts // SHARD_ROWS))
+    nodes: list = []
+    if (parts > 1).any():
+        sample = titles.select("form").orderBy(F.xxhash64("form"), "form").limit(TREE_SAMPLE).toPandas().form
+        owner, _, token = numbered(*letter_pairs(sample))
+        nodes = fit_tree(prints_of(owner, token, len(sample)))
+    n = max(partitions(spark), -(-int(counts.sum()) // (2 * ROWS_PER_BUCKET)))
+    given = spark.sparkContext.broadcast((levels(counts), parts, nodes, bucket_keys(n)))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        level, parts, nodes, keys = given.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            f = _prints(pdf)
-            order, own = leaves_of(nodes.value, f, np.zeros(len(pdf), np.int64))
-            home = np.empty(len(pdf), np.int64)
-            home[order] = own
-            k = parts.value[pdf.bucket.to_numpy()]
-            at = np.repeat(np.arange(len(pdf)), k)
-            part = np.arange(len(at)) - np.repeat(np.r_[0, np.cumsum(k)[:-1]], k)
-            yield pdf.iloc[at].assign(leaf=home[at].astype(np.int32), part=part.astype(np.int32), asks=False)
-            # a partner has at most size * (2-t)/t pairs, so this ball holds all partners
-            reach = ((1 - threshold) * pdf["size"].to_numpy() * (1 + (2 - threshold) / threshold) + 1e-9).astype(np.int64)
-            at, leaf = leaves_of(nodes.value, f, reach)
-            later = leaf > home[at]
-            at, leaf = at[later], leaf[later]
-            part = (mix(pdf.vid.to_numpy()[at]) % k[at].astype(np.uint64)).astype(np.int32)
-            yield pdf.iloc[at].assign(leaf=leaf.astype(np.int32), part=part, asks=True)
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("leaf", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("asks", T.BooleanType())])
-    cool = rows.join(F.broadcast(hot), "bucket", "left_anti").withColumns(none)
-    return cool.unionByName(rows.join(F.broadcast(hot), "bucket").select(*rows.columns).mapInPandas(spread, schema)).drop("bucket")
-
-
-def candidates(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b: pairs of titles whose fingerprints are within the radius; a superset of all near pairs."""
-    key = ["token", "leaf", "part"]
+            for i in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[i : i + AT_ONCE]
+                owner, slot, token, rank, size, prints = prefixes(part.form, level, threshold)
+                record = np.zeros(len(part), TITLE)
+                record["vid"], record["size"], record["f"] = part.vid.to_numpy(), size, prints
+                row, shard, asks = spread(token, slot, owner, record["vid"], size, prints, parts, nodes, threshold)
+                yield pd.DataFrame(packed(keys[(shard % np.uint64(n)).astype(np.int64)], shard, rank[row], asks, owner[row], record), columns=["bucket", "block"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        bucket, blocks = None, []
         for pdf in batches:
-            if rest is not None:
-                pdf = pd.concat([rest, pdf], ignore_index=True)
-            if len(pdf):
-                k = pdf[key].to_numpy()
-                cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-                last = int(cuts[-1]) if len(cuts) else 0
-                yield shard_pairs(pdf.iloc[:last], cuts[:-1])
-                rest = pdf.iloc[last:]
-        if rest is not None and len(rest):
-            yield shard_pairs(rest, np.zeros(0, np.int64))
-
-    def shard_pairs(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-        f, size, rank, vid = _prints(pdf), pdf["size"].to_numpy(), pdf["rank"].to_numpy(), pdf.vid.to_numpy()
-        asks, part = pdf.asks.to_numpy(), pdf.part.to_numpy()
-        s = Search(f, size, rank, threshold)
-        ends = np.r_[0, cuts, len(pdf)]
-        for i, j in zip(ends[:-1], ends[1:]):
-            if j - i > 1:
-                at = np.arange(i, j)
-                q = asks[i:j]
-                if part[i] == 0:
-                    s.shard(at[~q])
-                if q.any() and not q.all():
-                    s.cross(at[q], at[~q])
-        a = np.concatenate([vid[x] for x, _ in s.found] or [np.zeros(0, np.int64)])
-        b = np.concatenate([vid[y] for _, y in s.found] or [np.zeros(0, np.int64)])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    rows, sizes = prefix_rows(titles, threshold)
-    rows = sharded(rows, threshold, sizes)
-    n = partitions(rows.sparkSession)
-    return rows.repartition(n, *key).sortWithinPartitions(*key).mapInPandas(search, "a bigint, b bigint").where("a <> b").distinct()
+            for b, block in zip(pdf.bucket.tolist(), pdf.block):
+                if b != bucket and blocks:
+                    yield pairs(blocks)
+                    blocks = []
+                bucket = b
+                blocks.append(block)
+        if blocks:
+            yield pairs(blocks)
+
+    def pairs(blocks: list) -> pd.DataFrame:
+        r, t = unpacked(blocks, TITLE)
+        r = r[np.argsort(r["shard"])]
+        at = r["title"]
+        s = Search(t["f"][at], t["size"][at], r["rank"], threshold)
+        starts = np.flatnonzero(np.r_[True, r["shard"][1:] != r["shard"][:-1]])
+        ends = np.r_[starts[1:], len(r)]
+        asked = np.add.reduceat(r["asks"].astype(np.int64), starts) > 0
+        small = (ends - starts <= LEAF) & ~asked
+        s.leaves(starts[small], ends[small])
+        for i, j, q in zip(starts[~small].tolist(), ends[~small].tolist(), asked[~small].tolist()):
+            x = np.arange(i, j)
+            if not q:
+                s.shard(x)
+                continue
+            q = r["asks"][i:j]
+            s.shard(x[~q])
+            if not q.all():
+                s.cross(x[q], x[~q])
+        if watch is not None:
+            watch.add(np.array([s.tried, s.used, s.pruned, s.compared]))
+        vid = t["vid"][at]
+        a, b = (np.concatenate([vid[f[k]] for f in s.found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        return pd.DataFrame({"a": a, "b": b})[a != b].drop_duplicates()
+
+    blocks = titles.select("vid", "form").mapInPandas(rows, "bucket int, block binary")
+    return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(search, "a bigint, b bigint").distinct()
+
+
+def bag(form: str) -> set:
+    """The letter pairs of a form; the n-th pair of a kind is an element of its own."""
+    all_ = [form[i : i + 2] for i in range(len(form) - 1)]
+    out = set(all_)
+    if len(out) < len(all_):
+        seen: dict = {}
+        for p in all_:
+            seen[p] = seen.get(p, 0) + 1
+            if seen[p] > 1:
+                out.add((p, seen[p]))
+    return out
+
+
+def agreeing(left, right, threshold: float) -> list[bool]:
+    """Whether forms agree in enough letter pairs, counted exactly."""
+    bags: dict = {}
+    ok = []
+    for s, t in zip(left, right):
+        x = bags.get(s)
+        if x is None:
+            x = bags[s] = bag(s)
+        y = bags.get(t)
+        if y is None:
+            y = bags[t] = bag(t)
+        ok.append(2 * len(x & y) >= threshold * (len(x) + len(y)) - 1e-9)
+    return ok
 
 
 def similar(pairs: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
@@ -340,40 +380,31 @@ def similar(pairs: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ok = []
-            for s, t in zip(pdf.fa, pdf.fb):
-                left: dict = {}
-                for i in range(len(s) - 1):
-                    p = s[i : i + 2]
-                    left[p] = left.get(p, 0) + 1
-                common = 0
-                for i in range(len(t) - 1):
-                    p = t[i : i + 2]
-                    if left.get(p, 0):
-                        left[p] -= 1
-                        common += 1
-                ok.append(2 * common >= threshold * (len(s) + len(t) - 2) - 1e-9)
-            yield pdf.loc[ok, ["a", "b"]]
+            yield pdf.loc[agreeing(pdf.fa, pdf.fb, threshold), ["a", "b"]]
 
     return pairs.join(x, "a").join(y, "b").mapInPandas(exact, "a bigint, b bigint")
 
 
-def near_links(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_links(titles: DataFrame, threshold: float = THRESHOLD, watch=None) -> DataFrame:
     """a, b: all pairs of titles (vid, form) with similarity >= threshold; vid must be unique."""
-    return similar(written(candidates(titles, threshold)), titles, threshold)
+    return similar(candidates(titles, threshold, watch), titles, threshold)
 
 
 def title_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """form, n, class_id, group_id of each different form: the copies it belongs to and its near-duplicate group.
+    """form, n, class_id, group_id of the different forms near others: the copies each belongs to and its group.
 
-    class_id is the smallest id of its copies, group_id that of its group. A written table.
+    class_id is the smallest id of its copies, group_id that of its group. Forms in no group of two have no row.
+    A written table.
     """
-    classes = copy_classes(df, id_col, text_col).select("form", "n", F.col("keep_id").alias("class_id"))
+    classes = copy_classes(df, id_col, text_col).select("form", "n", "copies", F.col("keep_id").alias("class_id"))
     forms = written(classes.withColumn("vid", F.monotonically_increasing_id()))
     links = near_links(forms, threshold)
-    same = forms.groupBy("class_id").agg(F.min("vid").alias("a")).join(forms, "class_id").select("a", F.col("vid").alias("b"))
-    found = components(links.unionByName(same).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rooted = forms.join(found.withColumnRenamed("id", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+    several = forms.where("copies > n")
+    same = several.groupBy("class_id").agg(F.min("vid").alias("a")).join(several, "class_id").select("a", F.col("vid").alias("b"))
+    found = written(components(links.unionByName(same).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    rooted = forms.drop("copies").join(found.withColumnRenamed("id", "vid"), "vid")
+    rooted = written(rooted.select("root", "n", "class_id", form_key(F.col("form")).alias("form")))
+    dropped(forms, found)
     least = rooted.groupBy("root").agg(F.min("class_id").alias("group_id"))
     return written(rooted.join(least, "root").select("form", "n", "class_id", "group_id"))
 
@@ -381,18 +412,24 @@ def title_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = T
 def near_rows(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """id, class_id, group_id of each row whose title is near another title; singles and blank titles have no row."""
     groups = title_groups(df, id_col, text_col, threshold)
-    several = groups.groupBy("group_id").agg(F.countDistinct("class_id").alias("k")).where("k > 1").drop("k")
+    several = groups.groupBy("group_id").agg(F.min("class_id").alias("c"), F.max("class_id").alias("d")).where("c <> d").select("group_id")
     kept = written(groups.join(several, "group_id"))
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), folded(F.col(f"`{text_col}`")).alias("form"))
+    dropped(groups)
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), spaced(F.col(f"`{text_col}`")).alias("s")).where("s <> '' and id is not null")
+    rows = rows.select("id", form_key(unspaced(F.col("s"))).alias("form"))
     return salted_join(rows, kept, "form", "n").select("id", "class_id", "group_id")
 
 
 def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """row_id_a, row_id_b: all pairs of rows of a group, smaller id first, but for copies of one title.
 
-    The pairs are the result asked for; they are joined by group, so their number is that of the result plus
-    the pairs of copies.
+    Classes of copies are paired first, so pairs of copies are never made; then each pair of classes meets the
+    rows of its two classes. Every row made here is a row of the result or stands for at least one.
     """
-    rows = written(near_rows(df, id_col, text_col, threshold))
-    a, b = rows.toDF("row_id_a", "ca", "group_id"), rows.toDF("row_id_b", "cb", "group_id")
-    return a.join(b, "group_id").where("row_id_a < row_id_b and ca <> cb").select("row_id_a", "row_id_b")
+    rows = written(near_rows(df, id_col, text_col, threshold).distinct())
+    classes = rows.select("class_id", "group_id").distinct()
+    a, b = classes.toDF("ca", "group_id"), classes.toDF("cb", "group_id")
+    pairs = a.join(b, "group_id").where("ca < cb").select("ca", "cb")
+    x, y = rows.select(F.col("class_id").alias("ca"), F.col("id").alias("x")), rows.select(F.col("class_id").alias("cb"), F.col("id").alias("y"))
+    out = pairs.join(x, "ca").join(y, "cb")
+    return out.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
