@@ -32,7 +32,8 @@ from boardweave.llm.common import partitions, written
 
 def spaced(text: Column) -> Column:
     """The unbroken stretches of letters and digits of a title, parted by one blank; '' for null."""
-    return F.trim(F.regexp_replace(F.lower(half_width(F.coalesce(text, F.lit("")))), NON_WORD, " "))
+    s = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NON_WORD, " ")
+    return F.trim(F.when(s.rlike("[０-９ａ-ｚ]"), half_width(s)).otherwise(s))  # few titles have wide letters
 
 
 def unspaced(s: Column) -> Column:

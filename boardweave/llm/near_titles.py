@@ -96,6 +96,8 @@ class Search:
         self.near = np.minimum(self.reach, 64 * WORDS).astype(np.uint8)
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
         self.tried = self.used = self.pruned = self.compared = 0
+        # what direct() works in, made once
+        self.word, self.dist, self.more, self.hit = (np.empty(BLOCK, t) for t in (np.uint64, np.uint8, np.uint8, bool))
 
     def keep(self, a: np.ndarray, b: np.ndarray) -> None:
         """Of pairs that passed the fingerprints, those whose token lies in the prefix that their sizes ask for."""
@@ -113,14 +115,13 @@ class Search:
         rows = max(1, BLOCK // wide)
         if own:
             rows = min(rows, max(LEAF, len(x) // 8))
-        word, dist, more, hit = (np.empty((rows, wide), t) for t in (np.uint64, np.uint8, np.uint8, bool))
         for i in range(0, len(x), rows):
             part = fx[i : i + rows]
             h = len(part)
             for j in range(i if own else 0, len(y), wide):
                 other = fy[:, j : j + wide]
                 w = other.shape[1]
-                v, d, e, ok = word[:h, :w], dist[:h, :w], more[:h, :w], hit[:h, :w]
+                v, d, e, ok = (z[: h * w].reshape(h, w) for z in (self.word, self.dist, self.more, self.hit))
                 np.bitwise_count(np.bitwise_xor(part[:, :1], other[:1], out=v), out=d)
                 for k in range(1, WORDS):
                     np.bitwise_count(np.bitwise_xor(part[:, k : k + 1], other[k : k + 1], out=v), out=e)
@@ -170,8 +171,8 @@ class Search:
         if len(x) <= LEAF:
             return self.direct(x, x, True)
         self.tried += 1
-        d = distances(self.f[x[:1]], self.f[x])[0].astype(np.int64)
-        mid, r = int(np.median(d)), self.radius(x, x)
+        d = np.bitwise_count(self.f[x[:1]] ^ self.f[x]).sum(1, dtype=np.int64)
+        mid, r = _middle(d), self.radius(x, x)
         near, far = x[d <= mid], x[d > mid]
         a, b = x[(d <= mid) & (d >= mid - r)], x[(d > mid) & (d <= mid + r)]
         rest = len(near) * len(far) - len(a) * len(b)
@@ -188,8 +189,8 @@ class Search:
         if len(x) * len(y) <= LEAF * LEAF:
             return self.direct(x, y, False)
         self.tried += 1
-        dx, dy = (distances(self.f[y[:1]], self.f[z])[0].astype(np.int64) for z in (x, y))
-        mid, r = int(np.median(dy)), self.radius(x, y)
+        dx, dy = (np.bitwise_count(self.f[y[:1]] ^ self.f[z]).sum(1, dtype=np.int64) for z in (x, y))
+        mid, r = _middle(dy), self.radius(x, y)
         parts = [(x[dx <= mid + r], y[dy <= mid]), (x[dx > mid - r], y[dy > mid])]
         rest = len(x) * len(y) - sum(len(a) * len(b) for a, b in parts)
         if rest <= PRUNES * len(x) * len(y):
@@ -200,6 +201,10 @@ class Search:
                 self.cross(a, b)
 
 
+def _middle(d: np.ndarray) -> int:
+    return int(np.partition(d, (len(d) - 1) // 2)[(len(d) - 1) // 2])
+
+
 def fit_tree(prints: np.ndarray) -> list[tuple]:
     """A vantage-point tree as a list of nodes (vantage print, radius, near, far); a child < 0 is leaf -child-1."""
     nodes: list = []
