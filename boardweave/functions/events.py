@@ -8,34 +8,42 @@ from pyspark.sql import functions as F
 from boardweave.functions import dims
 from boardweave.functions.titles import text
 
+# How days are written.
 YMD = r"(\d{4})\s*[年.\-/]\s*(\d{1,2})\s*[月.\-/]\s*(\d{1,2})"
 MD = r"(\d{1,2})\s*月\s*(\d{1,2})\s*日?"
-NUMERIC_MD = r"(?:^|[^0-9])(\d{1,2})[.\-/](\d{1,2})(?:[^0-9]|$)"
+NUMERIC_MD = r"(?<!\d)(\d{1,2})[.\-/](\d{1,2})(?!\d)"
 
 
-def _first(*cases: Column) -> Column:
-    return F.coalesce(*cases)
-
-
-def event_date(when: Column, published: Column) -> Column:
+def event_date(when: Column, published: Column, move_all: bool = True) -> Column:
     """ISO day of an event told in free text, '' where there is none.
 
-    A text without a year takes that of publication; a month at least eight before that of publication is next year's.
+    A text without a year takes that of publication; a month at least eight before that of publication is next
+    year's (``move_all=False``: only where the year was taken from publication). A day that the next year doesn't
+    have (29 February) isn't moved.
     """
     t, pub = text(when), text(published)
-    part = lambda p, g: F.nullif(F.regexp_extract(t, p, g), F.lit("")).try_cast("int")
-    full = t.rlike(YMD)
-    pub_year = F.when(pub.rlike(r"^\d{4}"), F.left(pub, F.lit(4)).try_cast("int"))
-    year = F.when(full, part(YMD, 1)).otherwise(F.nullif(pub_year, F.lit(0)))
-    month = F.when(full, part(YMD, 2)).otherwise(_first(part(MD, 1), part(NUMERIC_MD, 1)))
-    day = F.when(full, part(YMD, 3)).otherwise(F.when(t.rlike(MD), part(MD, 2)).otherwise(part(NUMERIC_MD, 2)))
-    as_date = lambda y: F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
-    pub_day = F.when(pub.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.left(pub, F.lit(10)), "yyyy-MM-dd"))
-    # without a day (29 February of the next year) a moved date is none
-    moved = F.coalesce(F.month(pub_day) - month >= 8, F.lit(False))
-    found = F.when(moved & as_date(year).isNotNull(), as_date(year + 1)).otherwise(as_date(year))
-    ok = year.isNotNull() & month.between(1, 12) & day.between(1, 31)
-    return F.coalesce(F.when(ok, F.date_format(found, "yyyy-MM-dd")), F.lit(""))
+    found = F.struct(F.regexp_extract(t, YMD, 0).alias("ymd"), F.regexp_extract(t, MD, 0).alias("md"), F.regexp_extract(t, NUMERIC_MD, 0).alias("nmd"))
+    return F.get(F.transform(F.array(F.struct(found.alias("f"), pub.alias("pub"))), lambda x: _day(x["f"], x["pub"], move_all)), F.lit(0))
+
+
+def _day(found: Column, pub: Column, move_all: bool) -> Column:
+    """The day of the first way of writing that was found; each is taken apart once, as a list of its numbers."""
+    full = found["ymd"] != ""
+    said = F.when(full, found["ymd"]).when(found["md"] != "", found["md"]).otherwise(found["nmd"])
+    year_of = F.when(pub.rlike(r"^\d{4}"), F.nullif(F.left(pub, F.lit(4)).try_cast("int"), F.lit(0)))
+    parts = F.struct(F.regexp_extract_all(said, F.lit("(\\d+)"), F.lit(1)).alias("n"), full.alias("full"), year_of.alias("year"), pub.alias("pub"))
+
+    def dated(x: Column) -> Column:
+        at = lambda i: F.get(x["n"], F.when(x["full"], F.lit(i)).otherwise(F.lit(i - 1))).try_cast("int")
+        year, month, day = F.when(x["full"], F.get(x["n"], F.lit(0)).try_cast("int")).otherwise(x["year"]), at(1), at(2)
+        on = lambda y: F.try_to_date(F.format_string("%04d-%02d-%02d", y, month, day), "yyyy-MM-dd")
+        published = F.when(x["pub"].rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.left(x["pub"], F.lit(10)), "yyyy-MM-dd"))
+        moved = (F.month(published) - month >= 8) & (F.lit(True) if move_all else ~x["full"])
+        here = on(year)
+        ok = year.isNotNull() & month.between(1, 12) & day.between(1, 31) & here.isNotNull()
+        return F.coalesce(F.when(ok, F.date_format(F.coalesce(F.when(moved, on(year + 1)), here), "yyyy-MM-dd")), F.lit(""))
+
+    return F.get(F.transform(F.array(parts), dated), F.lit(0))
 
 
 def province(location: Column, when: Column, accounts: Column) -> Column:
@@ -43,8 +51,8 @@ def province(location: Column, when: Column, accounts: Column) -> Column:
     def scan(pairs, t):
         return reduce(lambda c, p: c.when(F.contains(text(t), F.lit(p[0])), p[1]), pairs[1:], F.when(F.contains(text(t), F.lit(pairs[0][0])), pairs[0][1]))
 
-    names, towns = [(p, p) for p in dims.PROVINCES], dims.pairs_of(dims.CITY_PROVINCES)
-    known = F.create_map(*[F.lit(x) for x in dims.ACCOUNT_PROVINCES])
+    names, towns = [(p, p) for p in dims.PROVINCES], list(dims.CITY_PROVINCES.items())
+    known = F.create_map(*[F.lit(x) for pair in dims.ACCOUNT_PROVINCES.items() for x in pair])
     by_account = F.get(F.filter(F.transform(F.coalesce(accounts, F.array().cast("array<string>")), lambda a: known[a]), lambda x: x.isNotNull()), F.lit(0))
     return F.coalesce(scan(names, location), scan(names, when), scan(towns, location), scan(towns, when), by_account, F.lit(""))
 

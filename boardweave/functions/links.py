@@ -17,7 +17,7 @@ def apply_url(raw: Column, fallback: Column) -> Column:
     length = lambda u: F.length(F.regexp_extract(u, r"^https?://[^/?#]*([^?#]*)", 1)) + F.length(F.regexp_extract(u, r"\?([^#]*)", 1))
     best = F.reduce(named, F.struct(F.lit("").alias("u"), F.lit(-1).alias("n")), lambda a, u: F.when(length(u) > a["n"], F.struct(u.alias("u"), length(u).alias("n"))).otherwise(a))["u"]
     mail = F.regexp_extract(text(raw), EMAIL, 0)
-    return F.when(best != "", best).when(mail != "", F.concat(F.lit("mailto:"), mail)).otherwise(text(fallback))
+    return F.when(best != "", best).when(mail != "", F.concat(F.lit("mailto:"), mail)).otherwise(F.trim(text(fallback)))
 
 
 def biz_of(page: Column) -> Column:

@@ -24,6 +24,11 @@ def place_tokens(locations: Column) -> Column:
     return F.filter(F.split(text(locations), SPLIT), lambda x: x != "")
 
 
+def typed(raw: Column) -> Column:
+    """What a user typed into a preference field: parted by list signs, without blanks and repeats, in order."""
+    return F.array_distinct(F.filter(F.split(text(raw), r"[、，,;；\s]+"), lambda x: x != ""))
+
+
 def first_hit(cities: Column, places: Column) -> Column:
     """The first preferred city, in the order of preference, that some place holds."""
     return F.get(F.filter(cities, lambda c: F.exists(places, lambda p: F.contains(p, c))), F.lit(0))

@@ -27,16 +27,14 @@ def entity(title: Column) -> Column:
 
 
 def unwrapped(key: Column) -> Column:
-    """A normalised title without its first matching column prefix and event suffix, where enough remains."""
-    out = key
-    for words, starts in ((dims.WRAP_PREFIXES, True), (dims.WRAP_SUFFIXES, False)):
-        case, base = None, out
-        for w in words:
-            hit = (F.startswith(base, F.lit(w)) if starts else F.endswith(base, F.lit(w))) & (F.length(base) - len(w) >= dims.UNWRAP_MIN)
-            cut = F.substr(base, F.lit(len(w) + 1)) if starts else F.left(base, F.length(base) - len(w))
-            case = F.when(hit, cut) if case is None else case.when(hit, cut)
-        out = case.otherwise(base)
-    return out
+    """A normalised title without its first matching column prefix and event suffix, where enough remains.
+
+    Alternatives are tried in their order and one that leaves too little is passed over. A suffix is cut as a
+    prefix of the reversed title, as only what lies ahead may be of any length. Two expressions, so the code stays small.
+    """
+    first = lambda words: f"^(?:{'|'.join(words)})(?=(?s:.{{{dims.UNWRAP_MIN}}}))"
+    cut = F.regexp_replace(key, first(dims.WRAP_PREFIXES), "")
+    return F.reverse(F.regexp_replace(F.reverse(cut), first([w[::-1] for w in dims.WRAP_SUFFIXES]), ""))
 
 
 def classified(title: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardweave.functions import dims
-from boardweave.functions.events import is_fair
+from boardweave.functions.events import event_date, is_fair, province
 from boardweave.functions.links import group_id
 from boardweave.functions.titles import text
 
@@ -26,16 +26,16 @@ def groups(group_file: DataFrame, prefix: str) -> DataFrame:
     return g.groupBy("id").agg(first.alias("g")).select("id", "g.*")
 
 
-def screen_index(screens: DataFrame) -> DataFrame:
+def screen_index(screens: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """url, s: the entry that counts for each link: first by day, kept before skipped, then by entry_id."""
-    s = screens.withColumn("s", F.struct("entry_id", "kind", "unit", "intro", "title", "positions", "locations", "v", "fair", "article_url"))
+    s = screens.withColumn("s", F.struct("entry_id", "kind", "unit", "intro", "title", "positions", "locations", "v", "fair", "article_url", *more))
     e = s.select("s", F.explode("urls").alias("url"), F.struct("screened_date", F.col("kind") != "kept", "entry_id").alias("o")).where("url is not null")
     return e.groupBy("url").agg(F.min_by("s", "o").alias("s"))
 
 
-def with_screen(g: DataFrame, screens: DataFrame) -> DataFrame:
-    """Each group with the entry of the first of its sorted links that has one."""
-    e = g.select("id", F.posexplode("urls").alias("pos", "url")).join(screen_index(screens), "url")
+def with_screen(g: DataFrame, screens: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Each group with the entry of the first of its sorted links that has one; ``more`` names further fields of it."""
+    e = g.select("id", F.posexplode("urls").alias("pos", "url")).join(screen_index(screens, more), "url")
     return g.join(e.groupBy("id").agg(F.min_by("s", "pos").alias("screen")), "id", "left")
 
 
@@ -143,12 +143,53 @@ def fairs(g: DataFrame) -> DataFrame:
     return g.where(fair_flag()).select("id", "title", "date", text(s["date"]).alias("fair_date"), text(s["province"]).alias("province"), many.alias("multi_company"), F.col("clicked_at").isNotNull().alias("is_read"))
 
 
+# Fixed value: the label of fairs whose province isn't known.
+NO_PROVINCE = "未标注省份"
+
+
+def fair_info(g: DataFrame) -> DataFrame:
+    """Fairs as their view shows them: the entry's day, else that of the first title that tells one; the entry's
+    province, else that of place, time or account; several companies by the entry, by title only where it says nothing."""
+    s = F.col("screen.fair")
+    told = F.get(F.filter(F.transform(_titles(), lambda t: event_date(t, F.col("date"), False)), lambda x: x != ""), F.lit(0))
+    own = text(s["date"])
+    many = F.coalesce(s["multi_company"], F.exists(_titles(), lambda t: t.rlike(dims.MULTI_COMPANY)))
+    accounts = F.concat(F.array("account"), F.transform("members", lambda m: m["account"]))
+    where = F.coalesce(F.nullif(text(s["province"]), F.lit("")), F.nullif(province(s["location"], s["time"], accounts), F.lit("")), F.lit(NO_PROVINCE))
+    # the day is read once and then used twice
+    f = g.where(fair_flag()).select("id", "title", "account", "date", s.isNotNull().alias("has_fair"), own.alias("own_date"), F.when(own == "", told).alias("told"), where.alias("province"), many.alias("multi_company"), F.col("clicked_at").isNotNull().alias("is_read"))
+    return f.withColumns({"fair_date": F.coalesce(F.nullif("own_date", F.lit("")), "told", F.lit("")), "date_from_title": F.col("told").isNotNull()}).drop("told")
+
+
+def fair_summary(f: DataFrame, today: str) -> DataFrame:
+    """Dated fairs to come, unread and undated ones."""
+    return f.agg(F.count_if(F.col("fair_date") >= today).alias("upcoming"), F.count_if(~F.col("is_read")).alias("unread"), F.count_if(F.col("fair_date") == "").alias("undated"))
+
+
+def of_provinces(f: DataFrame, chosen: list[str]) -> DataFrame:
+    """Fairs of the chosen provinces, of all where none is chosen."""
+    return f.where(F.col("province").isin(chosen)) if chosen else f
+
+
+def fair_order(f: DataFrame) -> DataFrame:
+    """place of each fair within its day and province: several companies first, then the latest published."""
+    w = Window.partitionBy("fair_date", "province").orderBy(F.desc("multi_company"), F.desc("date"), "id")
+    return f.withColumn("place", F.row_number().over(w).cast("bigint"))
+
+
+def day_provinces(f: DataFrame) -> DataFrame:
+    """Provinces within each day by number of fairs, unknown last."""
+    n = f.groupBy("fair_date", "province").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("fair_date").orderBy(F.col("province") == NO_PROVINCE, F.desc("n"), "province")  # a day's provinces
+    return n.withColumn("place", F.row_number().over(w).cast("bigint"))
+
+
 def fair_days(f: DataFrame, today: str) -> DataFrame:
     """Per day: all, unread, read, and whether it is past."""
     return f.groupBy("fair_date").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_read")).alias("unread"), F.count_if("is_read").alias("read")).withColumn("past", (F.col("fair_date") != "") & (F.col("fair_date") < today))
 
 
-def fair_provinces(f: DataFrame, unknown: str = "未标注省份") -> DataFrame:
+def fair_provinces(f: DataFrame, unknown: str = NO_PROVINCE) -> DataFrame:
     """Provinces by number of fairs, unknown last."""
     n = f.groupBy(F.when(F.col("province") == "", unknown).otherwise(F.col("province")).alias("province")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.col("province") == unknown, F.desc("n"), "province")  # as many rows as there are provinces

@@ -15,7 +15,7 @@ def exact_groups(articles: DataFrame) -> DataFrame:
     """One row per normalised title: its canonical member (latest date, then title, then link) and its size."""
     a = articles.withColumn("key", T.normalized(F.col("title"))).where("key <> ''")
     # aggregates combine before the shuffle; a window would gather a hot title in one task
-    best = F.max_by(F.struct("url", "account", "date", "title"), F.struct("date", "title", "url"))
+    best = F.max_by(F.struct("url", "account", "date", "title"), F.struct("date", "title", "url", "account"))
     return a.groupBy("key").agg(best.alias("c"), F.count(F.lit(1)).alias("n_members")).select("key", "c.*", "n_members")
 
 
@@ -128,9 +128,12 @@ def reused(candidates: DataFrame, decisions: DataFrame, members: DataFrame) -> D
     confirmed: both links were in one group and their titles are unchanged; cached and rejected: a stored verdict.
     """
     m = members.select("group_id", "url", "norm")
-    x = m.select("group_id", F.col("url").alias("lo"), F.col("norm").alias("title_lo"))
-    y = m.select("group_id", F.col("url").alias("hi"), F.col("norm").alias("title_hi"))
-    together = x.join(y, "group_id").where("lo < hi").select("lo", "hi", "title_lo", "title_hi").distinct().withColumn("same", F.lit(True))
+    # each end of a candidate with its groups: rows in proportion to memberships, never pairs within a group
+    asked = candidates.select("lo", "hi", "title_lo", "title_hi").distinct()
+    end = lambda u, t: asked.join(m.select("group_id", F.col("url").alias(u), F.col("norm").alias(t)), [u, t])
+    pair = ["lo", "hi", "title_lo", "title_hi"]
+    both = end("lo", "title_lo").join(end("hi", "title_hi"), [*pair, "group_id"])
+    together = both.select(*pair).distinct().withColumn("same", F.lit(True))
     d = decisions.select("lo", "hi", F.col("duplicate").alias("cached"))
     j = candidates.join(together, ["lo", "hi", "title_lo", "title_hi"], "left").join(d, ["lo", "hi"], "left")
     verdict = F.when(F.col("same"), "confirmed").when(F.col("cached"), "cached").when(~F.col("cached"), "rejected").otherwise("ask")
@@ -155,7 +158,10 @@ def adjudicated(pairs: DataFrame, judge, batch: int = 40) -> DataFrame:
             said: list = []
             rows = list(zip(pdf.title_a, pdf.title_b))
             for i in range(0, len(rows), batch):
-                said += [bool(x) for x in judge(rows[i : i + batch])]
+                answer = judge(rows[i : i + batch])
+                if len(answer) != len(rows[i : i + batch]):
+                    raise ValueError(f"{len(answer)} verdicts on {len(rows[i : i + batch])} pairs, from {rows[i]}")
+                said += [bool(x) for x in answer]
             yield pdf[["title_a", "title_b"]].assign(duplicate=said)
 
     return pairs.select("title_a", "title_b").mapInPandas(ask, "title_a string, title_b string, duplicate boolean")

@@ -65,3 +65,9 @@ def image_slices(images: DataFrame, width: int = 1000, tall: int = 2200, window:
     tops = F.when(F.col("sh") > tall, F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("sh") - 1, F.lit(step).cast("bigint")), lambda t: (t == 0) | (t + (window - step) < F.col("sh")))).otherwise(F.array(F.lit(0).cast("bigint")))
     s = b.select("image_id", "sw", "sh", F.posexplode(tops).alias("part", "top"))
     return s.select("image_id", F.col("part").cast("bigint").alias("part"), "top", F.when(F.col("sh") > tall, F.least(F.lit(window).cast("bigint"), F.col("sh") - F.col("top"))).otherwise(F.col("sh")).alias("height"))
+
+
+def by_day(screens: DataFrame) -> DataFrame:
+    """day, n, kept, entries: the entries of each screened day in order, as the day's file lists them."""
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("entry_id")), lambda x: x.cast("string")), " ")
+    return screens.groupBy(F.col("screened_date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "kept").alias("kept"), ids.alias("entries"))

@@ -6,7 +6,7 @@ from boardweave.operators import board
 from boardweave.plans.registry import query
 from boardweave.plans.views import BOARD, GROUPS, PREFIX, TODAY, table
 
-KEYWORDS, CITIES, ACCOUNT = ["算法", "前端"], ["栖沐渡", "梧煦浦"], "栖霁大学就业"
+KEYWORDS, CITIES, ACCOUNT, WORD = ["算法", "前端"], ["栖沐渡", "梧煦浦"], "栖霁大学就业", "公告"
 
 
 def _board(spark, d):
@@ -32,9 +32,9 @@ def board_context(spark, d):
     return _board(spark, d).select("id", F.col("screen.entry_id").alias("entry_id"), F.col("screen.kind").alias("kind"), "clicked_at", board.fair_flag().alias("is_fair"))
 
 
-@query(f"with {CTX} select id from ctx where account = '{ACCOUNT}' and contains(lower(concat_ws(' ', title, account, array_to_string(list_transform(list_zip(mt, ma), lambda z: z[1] || ' ' || z[2]), ' '))), 'offer')")
+@query(f"with {CTX} select id from ctx where account = '{ACCOUNT}' and contains(lower(concat_ws(' ', title, account, array_to_string(list_transform(list_zip(mt, ma), lambda z: z[1] || ' ' || z[2]), ' '))), '{WORD.lower()}')")
 def board_search(spark, d):
-    return board.context(_board(spark, d), "unread", ACCOUNT, "OFFER").select("id")
+    return board.context(_board(spark, d), "unread", ACCOUNT, WORD).select("id")
 
 
 @query(f"""with {CTX} select count(*) filter (where coalesce(kind,'')='kept' and {CS}) cs, count(*) filter (where coalesce(kind,'')='kept' and {KW}) keywords,

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from boardweave.functions import dims
 from boardweave.functions import titles as T
 from boardweave.functions.links import group_id
 from boardweave.operators import dedup, graph
@@ -23,10 +24,7 @@ be as (select title, list_sort(list_filter(ms, lambda b: not ((b = 'QIXI' and li
 w as (select *, row_number() over (partition by key order by date desc, title desc, url desc) rn, count(*) over (partition by key) n from k where key <> '')
 select key, url, account, date, title, n n_members from (select distinct key, url, date, title, n, account, row_number() over (partition by key order by date desc, title desc, url desc, account desc) r2 from w) where r2 = 1""")
 def dedup_exact(spark, d):
-    a = articles(spark, d)
-    k = a.withColumn("key", T.normalized(F.col("title"))).where("key <> ''")
-    best = F.max_by(F.struct("url", "account", "date", "title"), F.struct("date", "title", "url", "account"))
-    return k.groupBy("key").agg(best.alias("c"), F.count(F.lit(1)).alias("n_members")).select("key", "c.*", "n_members")
+    return dedup.exact_groups(articles(spark, d))
 
 
 @query(f"""with {ARTICLES}, k as (select distinct url, {norm('title')} key from a), h as (select key, min(url) a from k group by 1)
@@ -45,10 +43,21 @@ def _unwrap_sql() -> str:
 u as (select url, norm, case {s} else p end key from p)"""
 
 
-@query(f"""with {ARTICLES}, {_unwrap_sql()}, h as (select key, min(struct_pack(url := url, norm := norm)) h from u where length(key) >= 8 group by 1)
+#: Rows of later batches as an event column reports them again: its name before the title, its kind behind.
+_WRAPPED = f"""w as (select * from a), a2 as (select url, case when batch_no > 0 then '{dims.WRAP_PREFIXES[0]}' || title || '{dims.WRAP_SUFFIXES[0]}' else title end title from a
+union all select url || '#again', title || '{dims.WRAP_SUFFIXES[-1]}' from a where batch_no = 0)"""
+
+
+def _wrapped(a):
+    t = F.when(F.col("batch_no") > 0, F.concat(F.lit(dims.WRAP_PREFIXES[0]), "title", F.lit(dims.WRAP_SUFFIXES[0]))).otherwise(F.col("title"))
+    again = a.where("batch_no = 0").select(F.concat("url", F.lit("#again")).alias("url"), F.concat("title", F.lit(dims.WRAP_SUFFIXES[-1])).alias("title"))
+    return a.select("url", t.alias("title")).union(again)
+
+
+@query(f"""with {ARTICLES}, {_WRAPPED}, {_unwrap_sql().replace(" from a)", " from a2)")}, h as (select key, min(struct_pack(url := url, norm := norm)) h from u where length(key) >= 8 group by 1)
 select distinct h.h.url a, u.url b from u join h using (key) where u.url <> h.h.url and u.norm <> h.h.norm""")
 def dedup_unwrap_pairs(spark, d):
-    return dedup.unwrap_links(articles(spark, d))
+    return dedup.unwrap_links(_wrapped(articles(spark, d)))
 
 
 @query(f"""with {ARTICLES}, t as (select distinct {norm('title')} t from a), x as (select t from t where length(t) >= 5),
@@ -148,9 +157,10 @@ def group_ids(spark, d):
     return g.select("group_id", group_id(F.col("u")).alias("id"), F.size(F.array_distinct("u")).cast("bigint").alias("n"))
 
 
-@query(f"""with {MEMBERS}, a as (select coalesce(title,'') title from m), {BRANDED}, x as (select m.group_id, e.eff[1] b from m join be e on e.title = coalesce(m.title,'') where len(e.eff) = 1)
+@query(f"""with {MEMBERS}, a as (select coalesce(title,'') title from m), {BRANDED}, x as (select m.group_id // 4 group_id, e.eff[1] b from m join be e on e.title = coalesce(m.title,'') where len(e.eff) = 1)
 select group_id, array_to_string(list_sort(list(distinct b)), ',') brands from x group by 1 having count(distinct b) > 1""")
 def mixed_brand_audit(spark, d):
-    m = members(spark, d).select("group_id", DEMO.effective(F.coalesce("title", F.lit(""))).alias("b")).where(F.size("b") == 1)
+    """Four neighbouring rows stand for a group that was wrongly merged."""
+    m = members(spark, d).select(F.floor(F.col("group_id") / 4).alias("group_id"), DEMO.effective(F.coalesce("title", F.lit(""))).alias("b")).where(F.size("b") == 1)
     g = m.groupBy("group_id").agg(F.array_sort(F.collect_set(F.get("b", F.lit(0)))).alias("b"))
     return g.where(F.size("b") > 1).select("group_id", F.array_join("b", ",").alias("brands"))

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from boardweave.plans import board_queries, dedup_queries, state_queries, text_queries  # noqa: F401
+    from boardweave.plans import board_queries, dedup_queries, report_queries, state_queries, text_queries, user_queries  # noqa: F401
 
     return dict(_QUERIES)
 

@@ -110,11 +110,12 @@ def prefs_merge(spark, d):
     return state.partial_upsert(p, p.where("user_id % 3 = 0").select("user_id", F.lit('["x"]').alias("cities")), "user_id").select("user_id", "cities", "keywords", "updated_at")
 
 
-@query("""with u as (select distinct user_id from clicks), p as (select user_id, cities from preferences where user_id % 2 = 0)
+@query("""with u as (select distinct user_id from clicks union select -1), p as (select user_id, cities from preferences)
 select u.user_id, case when p.user_id is null then '成都,西安,北京,上海,深圳,东莞,广州,杭州' else coalesce(p.cities, '') end cities from u left join p using (user_id)""")
 def prefs_default(spark, d):
-    p = table(spark, d, "preferences").where("user_id % 2 = 0").select("user_id", F.when(F.col("cities").isNotNull(), F.array("cities")).alias("cities"))
-    return state.preferences_or_default(p, table(spark, d, "clicks").select("user_id").distinct(), dims.DEFAULT_CITIES).select("user_id", F.array_join("cities", ",").alias("cities"))
+    p = table(spark, d, "preferences").select("user_id", F.when(F.col("cities").isNotNull(), F.array("cities")).alias("cities"))
+    users = table(spark, d, "clicks").select("user_id").union(spark.range(-1, 0)).distinct()  # -1 has no row
+    return state.preferences_or_default(p, users, dims.DEFAULT_CITIES).select("user_id", F.array_join("cities", ",").alias("cities"))
 
 
 FAV = f"""{MEMBERS}, fav as (select distinct c.user_id, m.group_id, m.group_id % 5 collection_id from clicks c join m using (url))"""
@@ -152,11 +153,12 @@ def constraint_audit(spark, d):
     return state.violations(table(spark, d, "clicks"), ["user_id", "url"], {"stamped": "clicked_at is not null"})
 
 
-@query(f"with {MEMBERS}, x as (select distinct user_id, url from clicks where user_id % 2 = 1), mm as (select distinct url from m) select * from x union all select 0, url from mm where url not in (select url from x where user_id = 0)")
+@query(f"with {MEMBERS}, x as (select distinct user_id, url from clicks where clicked_at is not null), mm as (select distinct url from m) select * from x union select 0, url from mm union select user_id, url from clicks")
 def insert_ignore(spark, d):
-    x = table(spark, d, "clicks").where("user_id % 2 = 1").select("user_id", "url").distinct()
-    m = members(spark, d).select(F.lit(0).cast("bigint").alias("user_id"), "url").distinct()
-    return state.insert_ignore(x, m.union(x), ["user_id", "url"])
+    c = table(spark, d, "clicks")
+    x = c.where("clicked_at is not null").select("user_id", "url").distinct()
+    m = members(spark, d).select(F.lit(0).cast("bigint").alias("user_id"), "url")
+    return state.insert_ignore(x, m.union(c.select("user_id", "url")).distinct(), ["user_id", "url"])
 
 
 @query("select entry_id, coalesce(v = 2, false) or (kind = 'kept' and not regexp_matches(coalesce(title,''), '宣讲|双选|组团|线下招聘|招聘会')) reusable from screen_results")
@@ -201,14 +203,14 @@ def image_slices(spark, d):
     return screening.image_slices(i)
 
 
-@query()
+@query(f"with {ARTICLES}, r as (select *, row_number() over (partition by url {BY_URL}) rn from a where trim(url) <> '') select row_id, url from r where rn = 1")
 def late_feed_stream(spark, d):
-    """The article table fed through a file stream and upserted by link, in one run."""
+    """The article table fed through a file stream in several micro-batches and upserted by link."""
     from boardweave.operators.scratch import written
 
-    src = written(table(spark, d, "articles"))
+    # files by hash of the row: late and repeated rows come in any micro-batch
+    src = written(table(spark, d, "articles").withColumn("fresh", F.col("batch_no") > 0).repartition(4, "row_id"))
     base = src.at + "-stream"
-    q = feed.upsert_batches(feed.article_stream(spark, src.at, src.schema), base + "/table", base + "/checkpoint", ["文章链接"], ["fetched_at", "row_id"])
+    q = feed.upsert_batches(feed.article_stream(spark, src.at, src.schema, 1), base + "/table", base + "/checkpoint", ["文章链接"], ["fresh", "fetched_at", "row_id"])
     q.awaitTermination()
-    done = [p["batchId"] for p in q.recentProgress if p["numInputRows"]]
-    return spark.read.parquet(f"{base}/table/{max(done)}").select("row_id", F.col("文章链接").alias("url"))
+    return feed.upserted(spark, base + "/table", src.schema).select("row_id", F.col("文章链接").alias("url"))

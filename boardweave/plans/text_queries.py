@@ -29,7 +29,7 @@ case when f then try_cast(nullif(regexp_extract(t,'{YMD}',2),'') as int) when re
 case when f then try_cast(nullif(regexp_extract(t,'{YMD}',3),'') as int) when regexp_matches(t,'{MD}') then try_cast(regexp_extract(t,'{MD}',2) as int) else try_cast(nullif(regexp_extract(t,'{NMD}',2),'') as int) end d,
 case when regexp_matches(pub,'^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_cast(left(pub,10) as date) end pd from x),
 q as (select row_id, try_cast(printf('%04d-%02d-%02d', y, m, d) as date) d0, try_cast(printf('%04d-%02d-%02d', y + 1, m, d) as date) d1, coalesce(month(pd) - m >= 8, false) mv, y is not null and m between 1 and 12 and d between 1 and 31 ok from p)
-select row_id, case when ok then coalesce(strftime(case when mv and d0 is not null then d1 else d0 end, '%Y-%m-%d'), '') else '' end fair_date from q""")
+select row_id, case when ok then coalesce(strftime(case when mv and d0 is not null then coalesce(d1, d0) else d0 end, '%Y-%m-%d'), '') else '' end fair_date from q""")
 def fair_date(spark, d):
     return articles(spark, d).select("row_id", events.event_date(F.col("title"), F.col("date")).alias("fair_date"))
 

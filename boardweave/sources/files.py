@@ -11,25 +11,25 @@ MEMBER = "struct<`公众号`:string,`发布日期`:string,`文章标题`:string,
 GROUP_FILE = f"generated_at string, source_rows bigint, groups array<struct<canonical:{MEMBER},members:array<{MEMBER}>>>, decided_pairs array<struct<urls:array<string>,titles:array<string>,duplicate:boolean,rule:string,veto:string,decided_at:string>>"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
     return found is not None and len(found) > 0
 
 
-def account_files(spark: SparkSession, folder: str) -> DataFrame:
+def account_files(spark: SparkSession, folder: str, name: str = "*.csv") -> DataFrame:
     """All account CSVs of a folder but for those named 汇总-*; byte-order marks, quotes and quoted line breaks are read; '' for missing."""
     schema = ", ".join(f"`{c}` string" for c in ARTICLE_COLUMNS)
-    if not _exists(spark, f"{folder}/*.csv"):
+    if not exists(spark, f"{folder}/{name}"):
         return spark.createDataFrame([], schema + ", file string")
-    r = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(f"{folder}/*.csv")
+    r = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(f"{folder}/{name}")
     r = r.select("*", F.url_decode(F.col("_metadata.file_name")).alias("file")).where(~F.startswith("file", F.lit("汇总-")))
     return r.select(*[text(F.col(f"`{c}`")).alias(c) for c in ARTICLE_COLUMNS], "file")
 
 
 def account_file(spark: SparkSession, folder: str, account: str) -> DataFrame:
-    """One account's rows; no file, no rows."""
-    return account_files(spark, folder).where(F.col("file") == f"{account}.csv").drop("file")
+    """One account's rows, of its file alone; no file, no rows."""
+    return account_files(spark, folder, f"{account}.csv").drop("file")
 
 
 def group_file(spark: SparkSession, path: str) -> DataFrame:
@@ -44,14 +44,14 @@ def decision_file(spark: SparkSession, path: str) -> DataFrame:
 
 def json_rows(spark: SparkSession, path: str, schema: str, where: str = "true") -> DataFrame:
     """Rows of a JSON array; a missing or damaged file, and rows that fail the condition, give none."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).where(where)
 
 
 def clicked_file(spark: SparkSession, path: str, prefix: str, now: str) -> DataFrame:
     """url, clicked_at of a click file, wrapped in {urls: {..}} or bare; a stamp that is no text counts as now."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], "url string, clicked_at string")
     t = spark.read.text(path, wholetext=True)
     return clicked_json(t, "value", prefix, now)
@@ -60,10 +60,10 @@ def clicked_file(spark: SparkSession, path: str, prefix: str, now: str) -> DataF
 def clicked_json(df: DataFrame, col: str, prefix: str, now: str) -> DataFrame:
     whole = F.get_json_object(col, "$.urls")
     body = F.coalesce(whole, F.col(col))
-    m = df.select(F.explode(F.from_json(body, "map<string,string>")).alias("url", "v"))
-    # a quoted stamp arrives without quotes; numbers, objects and null aren't stamps
-    ok = F.coalesce(F.col("v").rlike(r"^\d{4}-\d{2}-\d{2}T"), F.lit(False))
-    return m.where(F.startswith("url", F.lit(prefix))).select("url", F.when(ok, F.col("v")).otherwise(now).alias("clicked_at"))
+    m = df.select(F.explode(F.from_json(body, "map<string,variant>")).alias("url", "v"))
+    # every string is a stamp, whatever it says; numbers, objects and null aren't
+    stamp = F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string"))
+    return m.where(F.startswith("url", F.lit(prefix))).select("url", F.coalesce(stamp, F.lit(now)).alias("clicked_at"))
 
 
 def clicked_report(spark: SparkSession, path: str, prefix: str, now: str) -> DataFrame:

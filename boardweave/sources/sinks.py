@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from boardweave.functions.titles import text
 from boardweave.operators.ingest import daily
+from boardweave.operators.scratch import dropped, written
+from boardweave.operators.state import upsert
+from boardweave.sources import files
 
 
 def account_csvs(articles: DataFrame, folder: str) -> None:
@@ -18,9 +21,19 @@ def summary_csv(articles: DataFrame, path: str, source: str = "微信读书") ->
     a.orderBy(F.desc("发布日期"), F.desc("文章标题"), "文章链接").write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
-def daily_partitions(rows: DataFrame, folder: str, today: str) -> None:
-    """Rows by day; only the days that occur are overwritten."""
-    daily(rows, today).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(folder)
+def daily_partitions(rows: DataFrame, folder: str, today: str, order: list[str]) -> None:
+    """Rows merged by link into their days' files; the greatest by ``order`` of a link stays; other days aren't touched.
+
+    What the days held is written to the shared folder first, as a folder can't be read while it is overwritten.
+    """
+    fresh = daily(rows, today)
+    if files.exists(rows.sparkSession, folder):
+        days = fresh.select("day").distinct()
+        kept = rows.sparkSession.read.schema(fresh.schema).parquet(folder).join(F.broadcast(days), "day", "left_semi")  # days: one row a day
+        fresh = upsert(kept.select(*fresh.columns).limit(0), kept.select(*fresh.columns).unionByName(fresh), ["url", "day"], order)
+    merged = written(fresh)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(folder)
+    dropped(merged)
 
 
 def markdown_lines(groups: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ import random
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from boardweave.functions import titles as T
-from boardweave.operators import dedup, graph, ingest, screening, state
-from boardweave.sources import files
+from boardweave.operators import dedup, graph, ingest, report, screening, state
+from boardweave.sources import files, sinks
 from boardweave.streaming import feed
 
 
@@ -77,15 +78,14 @@ def test_stream_keeps_the_newest_row_of_a_link(spark, tmp_path):
     for p in parts:  # one micro-batch each
         spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(at["in"])
         feed.upsert_batches(feed.article_stream(spark, at["in"], schema), at["table"], at["checkpoint"], ["文章链接"], ["fetched_at", "row_id"]).awaitTermination()
-    last = max(int(x.name) for x in (tmp_path / "table").iterdir())
     rows = spark.createDataFrame([r for p in parts for r in p if r[1]], schema)
     want = state.upsert(rows.limit(0), rows, ["文章链接"], ["fetched_at", "row_id"])
-    got = sorted(map(tuple, spark.read.parquet(f"{at['table']}/{last}").select(*want.columns).collect()))
+    got = sorted(map(tuple, feed.upserted(spark, at["table"], rows.schema).select(*want.columns).collect()))
     assert got == sorted(map(tuple, want.collect())) and [r[0] for r in got] == [2, 3, 5, 7, 10]
 
 
 def test_reusable(spark):
-    data = [("kept", 2, "x", True), ("skipped", 2, "x", True), ("kept", None, "中国电子2027届校园招聘", True), ("kept", None, "线下宣讲 | OPPO2027届全球校园招聘", False), ("skipped", None, "某高校教师招聘", False)]
+    data = [("kept", 2, "x", True), ("skipped", 2, "x", True), ("kept", None, "云岸2030届校园招聘", True), ("kept", None, "线下宣讲 | 云岸2030届招聘", False), ("skipped", None, "溪谷学院教师招聘", False)]
     df = spark.createDataFrame(data, "kind string, v int, title string, want boolean")
     assert all(r[0] == r[1] for r in df.select(screening.reusable(F.col("kind"), F.col("v"), F.col("title")), "want").collect())
 
@@ -100,9 +100,9 @@ def test_account_files_with_bom_and_line_breaks(spark, tmp_path):
 
 
 def test_clicked_file(spark, tmp_path):
-    (tmp_path / "c.json").write_text('{"version":1,"urls":{"https://p/a":"2026-08-01T00:00:00+08:00","https://p/b":5,"http://q/c":"x"}}')
+    (tmp_path / "c.json").write_text('{"version":1,"urls":{"https://p/a":"2026-08-01T00:00:00+08:00","https://p/b":5,"https://p/d":"whenever","https://p/e":null,"http://q/c":"x"}}')
     got = {r.url: r.clicked_at for r in files.clicked_file(spark, str(tmp_path / "c.json"), "https://p/", "now").collect()}
-    assert got == {"https://p/a": "2026-08-01T00:00:00+08:00", "https://p/b": "now"}
+    assert got == {"https://p/a": "2026-08-01T00:00:00+08:00", "https://p/b": "now", "https://p/d": "whenever", "https://p/e": "now"}
 
 
 def test_failing_model_gives_error_rows(spark):
@@ -117,5 +117,33 @@ def test_failing_model_gives_error_rows(spark):
 
 
 def test_entity_and_classes(spark):
-    df = spark.createDataFrame([("小米2027届校园招聘正式启动",), (None,)], "t string")
-    assert [r[0] for r in df.select(T.entity(F.col("t"))).collect()] == ["小米", ""]
+    df = spark.createDataFrame([("云岸2027届校园招聘正式启动",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.entity(F.col("t"))).collect()] == ["云岸", ""]
+
+
+def test_days_are_merged_by_link(spark, tmp_path):
+    at, schema = str(tmp_path / "days"), "url string, date string, title string, row_id bigint"
+    sinks.daily_partitions(spark.createDataFrame([("a", "2030-01-01", "old", 1), ("b", "2030-01-01", "kept", 2), ("c", "2030-01-02", "other", 3)], schema), at, "2030-01-09", ["row_id"])
+    sinks.daily_partitions(spark.createDataFrame([("a", "2030-01-01", "new", 4), ("b", "2030-01-01", "late", 0), ("d", "", "undated", 5)], schema), at, "2030-01-09", ["row_id"])
+    got = sorted((r.url, r.title, str(r.day)) for r in spark.read.parquet(at).collect())
+    assert got == [("a", "new", "2030-01-01"), ("b", "kept", "2030-01-01"), ("c", "other", "2030-01-02"), ("d", "undated", "2030-01-09")]
+
+
+def test_short_answers_of_a_judge_are_refused(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("c", "d")], "title_a string, title_b string").coalesce(1)
+    assert [r.duplicate for r in dedup.adjudicated(pairs, lambda p: [x == "a" for x, _ in p]).collect()] == [True, False]
+    with pytest.raises(Exception, match="1 verdicts on 2 pairs"):
+        dedup.adjudicated(pairs, lambda p: [True]).collect()
+
+
+def test_components_of_a_chain_and_nothing(spark):
+    chain = spark.createDataFrame([(f"{i + 1:03}", f"{i:03}") for i in range(40)] + [("x", "x"), (None, "y")], "a string, b string")
+    assert {(r.value, r.root) for r in graph.connected(chain).collect()} == {(f"{i:03}", "000") for i in range(41)}
+    assert graph.connected(chain.limit(0)).count() == 0
+
+
+def test_ranges_and_accounts(spark):
+    assert report.date_range("") == ("20260710", "99999999") and report.date_range("2030-01-02") == ("20300102", "20300102")
+    assert report.date_range("..20300102") == ("20260710", "20300102")
+    with pytest.raises(ValueError):
+        report.only(spark.createDataFrame([("a",)], "account string"), [" "])
