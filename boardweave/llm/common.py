@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boardweave.operators.scratch import dropped, scratch_dir, written  # noqa: F401
+
 #: Rows of one key above which the key is salted, and the most keys that may count as hot.
 HOT_ROWS, HOT_KEYS = 50_000, 1_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="boardweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/boardweave-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = path or scratch_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.at = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Remove tables made by written() that nothing reads any more."""
-    for table in tables:
-        spark = table.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(table.at)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

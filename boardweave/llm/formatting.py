@@ -36,6 +36,11 @@ def spaced(text: Column) -> Column:
     return F.trim(F.when(s.rlike("[０-９ａ-ｚ]"), half_width(s)).otherwise(s))  # few titles have wide letters
 
 
+def titled(text: Column) -> Column:
+    """Whether a title has a letter or digit. Cheaper than to compare spaced(), which would be made twice."""
+    return text.rlike(r"[\p{L}\p{N}]")
+
+
 def unspaced(s: Column) -> Column:
     """The form of a spaced title: equal to folded() of its text."""
     return F.replace(s, F.lit(" "), F.lit(""))
@@ -46,9 +51,15 @@ def form_key(form: Column) -> Column:
     return F.unhex(F.md5(form))
 
 
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, form: the rows with an id and a title, and the key of their form."""
+    t = df.where(titled(F.col(f"`{text_col}`")) & F.col(f"`{id_col}`").isNotNull())
+    return t.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), form_key(unspaced(spaced(F.col(f"`{text_col}`")))).alias("form"))
+
+
 def forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """letters, s, first_id, n: each different spaced title, pre-aggregated before it is shuffled: hot titles shrink to one row."""
-    t = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), spaced(F.col(f"`{text_col}`")).alias("s")).where("s <> '' and id is not null")
+    t = df.where(titled(F.col(f"`{text_col}`")) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), spaced(F.col(f"`{text_col}`")).alias("s"))
     g = t.groupBy("s").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     return g.select(F.xxhash64(F.sort_array(F.split(unspaced(F.col("s")), ""))).alias("letters"), "s", "first_id", "n")
 
@@ -123,6 +134,5 @@ def copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     from boardweave.llm.common import salted_join
 
     classes = written(copy_classes(df, id_col, text_col).where("copies > 1").select("keep_id", "n", form_key(F.col("form")).alias("form")))
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("copy_id"), spaced(F.col(f"`{text_col}`")).alias("s")).where("s <> '' and copy_id is not null")
-    rows = rows.select("copy_id", form_key(unspaced(F.col("s"))).alias("form"))
+    rows = keyed(df, id_col, text_col).withColumnRenamed("id", "copy_id")
     return salted_join(rows, classes, "form", "n").where("copy_id <> keep_id").select("keep_id", "copy_id")

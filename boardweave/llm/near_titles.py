@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from boardweave.llm.blocks import AT_ONCE, BUCKETS, WORDS, bucket_keys, distances, letter_pairs, levels, mix, numbered, packed, prints_of, unpacked
 from boardweave.llm.common import dropped, partitions, salted_join, written
 from boardweave.llm.components import components
-from boardweave.llm.formatting import copy_classes, form_key, spaced, unspaced
+from boardweave.llm.formatting import copy_classes, form_key, keyed
 
 #: Similarity from which titles are near: 2 * common pairs / pairs of both.
 THRESHOLD = 0.7
@@ -387,7 +387,7 @@ def similar(pairs: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
         for pdf in batches:
             yield pdf.loc[agreeing(pdf.fa, pdf.fb, threshold), ["a", "b"]]
 
-    return pairs.join(x, "a").join(y, "b").mapInPandas(exact, "a bigint, b bigint")
+    return pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").mapInPandas(exact, "a bigint, b bigint")
 
 
 def near_links(titles: DataFrame, threshold: float = THRESHOLD, watch=None) -> DataFrame:
@@ -420,9 +420,7 @@ def near_rows(df: DataFrame, id_col: str, text_col: str, threshold: float = THRE
     several = groups.groupBy("group_id").agg(F.min("class_id").alias("c"), F.max("class_id").alias("d")).where("c <> d").select("group_id")
     kept = written(groups.join(several, "group_id"))
     dropped(groups)
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), spaced(F.col(f"`{text_col}`")).alias("s")).where("s <> '' and id is not null")
-    rows = rows.select("id", form_key(unspaced(F.col("s"))).alias("form"))
-    return salted_join(rows, kept, "form", "n").select("id", "class_id", "group_id")
+    return salted_join(keyed(df, id_col, text_col), kept, "form", "n").select("id", "class_id", "group_id")
 
 
 def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
