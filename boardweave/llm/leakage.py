@@ -41,6 +41,8 @@ LATIN, OTHER = (30, 10), (12, 6)
 TABLES = 5
 #: Edits that a held piece may have, and the part of a passage that held pieces must make up.
 EDITS, SHARE = 0.25, 0.42
+#: Bits of a key's prefix by which windows are sifted at each sampled letter.
+SIFT = 20
 #: Letters are hashed to so many classes for the walk's random bits.
 CLASSES = 4096
 
@@ -95,6 +97,16 @@ def held(passage: str, cut: list[tuple[int, int]], text: str) -> bool:
     return got >= need
 
 
+def letter_classes(flat: np.ndarray) -> np.ndarray:
+    return ((flat * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(CLASSES)).astype(np.int64)
+
+
+def sieve(keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << SIFT, bool)
+    out[(keys >> np.uint64(64 - SIFT)).astype(np.int64)] = True
+    return out
+
+
 class Tables:
     """The sampled walks of all pieces of all items."""
 
@@ -119,38 +131,48 @@ class Tables:
             for k, s in enumerate(texts):
                 codes[k, : len(s)] = np.frombuffer(s.encode("utf-32-le"), np.uint32)
             flat = np.r_[codes.ravel(), np.zeros(width, np.uint32)]
+            classes = letter_classes(flat)
             for _ in range(TABLES):
                 steps = np.sort(rng.choice(2 * width - 2, samples, replace=False))
                 bits = rng.integers(0, 2, (2 * width, CLASSES), dtype=np.uint8)
                 stages: list[np.ndarray] = []
-                keys, _ = self.walk(flat, np.arange(len(texts)) * width, width, steps, bits, None, stages)
+                keys, _ = self.walk(flat, classes, np.arange(len(texts)) * width, width, steps, bits, None, stages)
                 order = np.argsort(keys)
-                self.plans.append((latin, width, steps, bits, [np.unique(s) for s in stages], keys[order], owner[order]))
+                self.plans.append((latin, width, steps, bits, [sieve(s) for s in stages], keys[order], owner[order]))
 
     @staticmethod
-    def walk(flat, start, width, steps, bits, known, stages):
-        """Keys of the sampled letters of each window; with ``known``, windows that no piece begins like are left out."""
+    def walk(flat, classes, start, width, steps, bits, known, stages):
+        """Keys of the sampled letters of each window; with ``known``, windows that no piece begins like are left out.
+
+        known has, for each sampled step, a table of SIFT bits that tells what prefixes of keys may begin a piece;
+        it never leaves out one that does, and the whole keys are looked up exactly at the end.
+        """
         alive = np.arange(len(start))
-        place, key = np.zeros(len(start), np.int64), np.zeros(len(start), np.uint64)
-        last = int(steps[-1])
+        at, key = start.copy(), np.zeros(len(start), np.uint64)
         sampled = set(steps.tolist())
         nth = 0
-        for step in range(last + 1):
-            inside = place < width
-            c = np.where(inside, flat[start + np.minimum(place, width - 1)], 0)
+        for step in range(int(steps[-1]) + 1):
+            # before as many steps as the window is wide no walk can have left it
+            inside = None if step < width else at < start + width
+            here = at if inside is None else np.where(inside, at, start)
             if step in sampled:
-                key = mix(key * np.uint64(1_000_003) + c.astype(np.uint64) + np.uint64(1))
+                c = flat[here].astype(np.uint64)
+                if inside is not None:
+                    c[~inside] = 0
+                key = mix(key * np.uint64(1_000_003) + c + np.uint64(1))
                 if known is None:
                     stages.append(key.copy())
                 else:
-                    k = known[nth]
-                    at = np.minimum(np.searchsorted(k, key), len(k) - 1)
-                    keep = k[at] == key
-                    alive, start, place, key, c = alive[keep], start[keep], place[keep], key[keep], c[keep]
+                    keep = np.flatnonzero(known[nth][(key >> np.uint64(64 - SIFT)).astype(np.int64)])
+                    alive, start, at, key, here = alive[keep], start[keep], at[keep], key[keep], here[keep]
+                    inside = None if inside is None else inside[keep]
                     if not len(alive):
                         break
                 nth += 1
-            place = place + bits[step, (c * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(CLASSES)]
+            k = classes[here]
+            if inside is not None:
+                k = np.where(inside, k, 0)
+            at = at + bits[step][k]
         return key, alive
 
     def candidates(self, texts: list[str]) -> set[tuple[int, int]]:
@@ -158,6 +180,7 @@ class Tables:
         codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
         sizes = np.array([len(c) for c in codes], np.int64)
         flat = np.concatenate([*codes, np.zeros(LATIN[0], np.uint32)])
+        classes = letter_classes(flat)
         owner = np.repeat(np.arange(len(texts)), sizes)
         ends = np.repeat(np.cumsum(sizes), sizes)
         latin = (flat[: len(owner)] >= 97) & (flat[: len(owner)] <= 122)
@@ -166,7 +189,7 @@ class Tables:
             start = np.flatnonzero((latin == is_latin) & (np.arange(len(owner)) + width <= ends))
             for i in range(0, len(start), 500_000):
                 s = start[i : i + 500_000]
-                key, alive = self.walk(flat, s, width, steps, bits, stages, None)
+                key, alive = self.walk(flat, classes, s, width, steps, bits, stages, None)
                 if len(alive):
                     lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                     many = hi - lo

@@ -41,7 +41,7 @@ SHARD_ROWS = 20_000
 #: Fingerprints on which the tree that splits large shards is fitted, and its leaves.
 TREE_SAMPLE, TREE_LEAVES = 4_096, 64
 #: Rows of a tree's leaf inside a shard, and the share of pairs that a vantage point must exclude to be used.
-LEAF, PRUNES = 32, 0.2
+LEAF, PRUNES = 32, 0.1
 #: Pairs compared at once.
 BLOCK = 1 << 15
 #: Shard rows of a shuffle bucket: what one task sorts in memory at once.
@@ -172,7 +172,8 @@ class Search:
             return self.direct(x, x, True)
         self.tried += 1
         d = np.bitwise_count(self.f[x[:1]] ^ self.f[x]).sum(1, dtype=np.int64)
-        mid, r = _middle(d), self.radius(x, x)
+        r = self.radius(x, x)
+        mid = _best_split(d, d, r)
         near, far = x[d <= mid], x[d > mid]
         a, b = x[(d <= mid) & (d >= mid - r)], x[(d > mid) & (d <= mid + r)]
         rest = len(near) * len(far) - len(a) * len(b)
@@ -190,7 +191,8 @@ class Search:
             return self.direct(x, y, False)
         self.tried += 1
         dx, dy = (np.bitwise_count(self.f[y[:1]] ^ self.f[z]).sum(1, dtype=np.int64) for z in (x, y))
-        mid, r = _middle(dy), self.radius(x, y)
+        r = self.radius(x, y)
+        mid = _best_split(dx, dy, r)
         parts = [(x[dx <= mid + r], y[dy <= mid]), (x[dx > mid - r], y[dy > mid])]
         rest = len(x) * len(y) - sum(len(a) * len(b) for a, b in parts)
         if rest <= PRUNES * len(x) * len(y):
@@ -201,8 +203,14 @@ class Search:
                 self.cross(a, b)
 
 
-def _middle(d: np.ndarray) -> int:
-    return int(np.partition(d, (len(d) - 1) // 2)[(len(d) - 1) // 2])
+def _best_split(dx: np.ndarray, dy: np.ndarray, r: int) -> int:
+    """The distance from the vantage point at which a split of y leaves the fewest pairs of x and y within r of it."""
+    n = 64 * WORDS + 1
+    x, y = (np.cumsum(np.bincount(d, minlength=n)) for d in (dx, dy))
+    v = np.arange(n)
+    near = x[np.minimum(v + r, n - 1)] * y
+    far = (x[-1] - np.where(v - r >= 0, x[np.maximum(v - r, 0)], 0)) * (y[-1] - y)
+    return int(np.argmin(near + far))
 
 
 def fit_tree(prints: np.ndarray) -> list[tuple]:

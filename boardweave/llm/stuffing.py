@@ -52,6 +52,11 @@ ITEM = regex.compile(r"[^\p{L}\p{N}\s]+|\n+|(?<=\p{Han})\s+(?=\p{Han})")
 BREAK = regex.compile(r"\n+|(?<=\p{Han})\s+(?=\p{Han})")
 INVISIBLE = regex.compile(r"[\p{Cf}\x01]")
 UNIT = regex.compile(r"\p{Han}|\p{Latin}{4}")
+HAN, ROMAN, SPACE = regex.compile(r"\p{Han}"), regex.compile(r"\p{Latin}"), regex.compile(r"\s")
+HIDDEN = regex.compile("\x01(\\d+)\x01")
+#: Words whose hashes a task keeps.
+KEPT = 1 << 17
+_hashes: dict[str, int] = {}
 
 
 def words(text: str) -> list[str]:
@@ -60,7 +65,11 @@ def words(text: str) -> list[str]:
 
 def slots(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of words, and of neighbouring pairs, in the hashed tables."""
-    h = np.array([xxhash.xxh64_intdigest(w) for w in found], np.uint64)
+    if len(_hashes) > KEPT:
+        _hashes.clear()
+    for w in set(found).difference(_hashes):
+        _hashes[w] = xxhash.xxh64_intdigest(w)
+    h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
     pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (h[1:] >> np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)
     return (h % np.uint64(WORD_SLOTS)).astype(np.int64), ((pair ^ (pair >> np.uint64(29))) % np.uint64(PAIR_SLOTS)).astype(np.int64)
 
@@ -90,25 +99,28 @@ class Judge:
         self.all_words, self.all_pairs = max(1, int(word_n.sum())), max(1, int(pair_n.sum()))
 
     def stuffed(self, segment: str) -> bool:
-        rest = regex.sub("\x01\\d+\x01", " ", segment)
-        ids = regex.findall("\x01(\\d+)\x01", segment)
-        if ids and len(regex.sub(r"\s", "", rest)) <= LABEL * len(ids) + 5:
+        ids = HIDDEN.findall(segment)
+        rest = HIDDEN.sub(" ", segment) if ids else segment
+        if ids and len(SPACE.sub("", rest)) <= LABEL * len(ids) + 5:
             return True
         found = words(rest)
         if len(found) < ITEMS + 1:
             return False
-        ws, ps = slots(found)
         pairs = list(zip(found, found[1:]))
         here = Counter(pairs)
-        n = np.array([here[p] for p in pairs])
-        usual = self.pair_n[ps] / self.all_pairs * len(pairs)
-        if np.mean((n >= REPEATS) & (n >= EXCESS * usual)) >= 0.5:
-            return True
+        # only where repeated pairs make up half can those that are also excessive do so
+        if 2 * sum(k for k in here.values() if k >= REPEATS) >= len(pairs):
+            n = np.array([here[p] for p in pairs])
+            usual = self.pair_n[slots(found)[1]] / self.all_pairs * len(pairs)
+            if np.mean((n >= REPEATS) & (n >= EXCESS * usual)) >= 0.5:
+                return True
         items = [x for x in ITEM.split(rest) if x.strip()]
-        sizes = sorted(len(UNIT.findall(x)) if regex.search(r"\p{Han}", x) else 4 * len(x.split()) for x in items)
-        if len(sizes) < ITEMS or sizes[len(sizes) * 3 // 4] > ITEM_UNITS:
+        if len(items) < ITEMS:
+            return False
+        sizes = sorted(len(UNIT.findall(x)) if HAN.search(x) else 4 * len(x.split()) for x in items)
+        if sizes[len(sizes) * 3 // 4] > ITEM_UNITS:
             return False
-        script = "han" if len(regex.findall(r"\p{Han}", rest)) >= len(regex.findall(r"\p{Latin}", rest)) else "latin"
+        script = "han" if len(HAN.findall(rest)) >= len(ROMAN.findall(rest)) else "latin"
         return self.known_joints(items) <= COHERENT[script]
 
     def known_joints(self, items: list[str]) -> float:
@@ -128,13 +140,13 @@ class Judge:
             links.append(m.group())
             return f"\x01{len(links) - 1}\x01"
 
-        total = len(regex.sub(r"\s", "", text))
+        total = len(SPACE.sub("", text))
         hidden = LINK.sub(hide, INVISIBLE.sub("", text))
         bad = 0
         for s in segments(hidden):
             if self.stuffed(s):
-                whole = regex.sub("\x01(\\d+)\x01", lambda m: links[int(m.group(1))], s)
-                bad += len(regex.sub(r"\s", "", whole))
+                whole = HIDDEN.sub(lambda m: links[int(m.group(1))], s)
+                bad += len(SPACE.sub("", whole))
         return bad / total if total else 0.0
 
 
