@@ -99,11 +99,12 @@ class Search:
         # what direct() works in, made once
         self.word, self.dist, self.more, self.hit = (np.empty(BLOCK, t) for t in (np.uint64, np.uint8, np.uint8, bool))
 
-    def keep(self, a: np.ndarray, b: np.ndarray) -> None:
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Of pairs that passed the fingerprints, those whose token lies in the prefix that their sizes ask for."""
+        a, b = (np.concatenate([f[k] for f in self.found] or [np.zeros(0, np.int64)]) for k in (0, 1))
         need = np.ceil(self.t * (self.size[a] + self.size[b]) / 2 - 1e-9)
         ok = (self.rank[a] + need <= self.size[a]) & (self.rank[b] + need <= self.size[b])
-        self.found.append((a[ok], b[ok]))
+        return a[ok], b[ok]
 
     def direct(self, x: np.ndarray, y: np.ndarray, own: bool) -> None:
         """All pairs of x and y (own: within x) against their radius, in blocks that stay in the processor's cache."""
@@ -135,7 +136,7 @@ class Search:
                     a, b = at // w + i, at % w + j
                     if own:
                         a, b = a[a < b], b[a < b]
-                    self.keep(x[a], y[b])
+                    self.found.append((x[a], y[b]))
 
     def leaves(self, start: np.ndarray, end: np.ndarray) -> None:
         """Pairs within each of many leaves (rows start to end, at most LEAF each), all leaves at once."""
@@ -148,7 +149,7 @@ class Search:
             d = np.bitwise_count(self.f[a] ^ self.f[a + k]).sum(1, dtype=np.int64)
             a = a[d <= self.reach[a] + self.reach[a + k]]
             if len(a):
-                self.keep(a, a + k)
+                self.found.append((a, a + k))
 
     def radius(self, x: np.ndarray, y: np.ndarray) -> int:
         return int(self.reach[x].max() + self.reach[y].max())
@@ -172,12 +173,15 @@ class Search:
             return self.direct(x, x, True)
         self.tried += 1
         d = np.bitwise_count(self.f[x[:1]] ^ self.f[x]).sum(1, dtype=np.int64)
-        r = self.radius(x, x)
+        r, least = self.radius(x, x), PRUNES * len(x) * (len(x) - 1) / 2
+        order = np.sort(d)
+        if (len(x) - np.searchsorted(order, order + r, "right")).sum() <= least:  # no split can exclude more
+            return self.direct(x, x, True)
         mid = _best_split(d, d, r)
         near, far = x[d <= mid], x[d > mid]
         a, b = x[(d <= mid) & (d >= mid - r)], x[(d > mid) & (d <= mid + r)]
         rest = len(near) * len(far) - len(a) * len(b)
-        if rest <= PRUNES * len(x) * (len(x) - 1) / 2:
+        if rest <= least:
             return self.direct(x, x, True)
         self.used, self.pruned = self.used + 1, self.pruned + rest
         self.own(near)
@@ -192,6 +196,9 @@ class Search:
         self.tried += 1
         dx, dy = (np.bitwise_count(self.f[y[:1]] ^ self.f[z]).sum(1, dtype=np.int64) for z in (x, y))
         r = self.radius(x, y)
+        order = np.sort(dy)
+        if (len(y) - np.searchsorted(order, dx + r, "right") + np.searchsorted(order, dx - r)).sum() <= PRUNES * len(x) * len(y):
+            return self.direct(x, y, False)
         mid = _best_split(dx, dy, r)
         parts = [(x[dx <= mid + r], y[dy <= mid]), (x[dx > mid - r], y[dy > mid])]
         rest = len(x) * len(y) - sum(len(a) * len(b) for a, b in parts)
@@ -350,13 +357,12 @@ def candidates(titles: DataFrame, threshold: float = THRESHOLD, watch=None) -> D
                 s.cross(x[q], x[~q])
         if watch is not None:
             watch.add(np.array([s.tried, s.used, s.pruned, s.compared]))
-        vid = t["vid"][at]
-        a, b = (np.concatenate([vid[f[k]] for f in s.found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        a, b = (t["vid"][at[x]] for x in s.pairs())
         a, b = np.minimum(a, b), np.maximum(a, b)
         return pd.DataFrame({"a": a, "b": b})[a != b].drop_duplicates()
 
     blocks = titles.select("vid", "form").mapInPandas(rows, "bucket int, block binary")
-    return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(search, "a bigint, b bigint").distinct()
+    return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(search, "a bigint, b bigint").repartition("a").dropDuplicates(["a", "b"])  # by a, as the join that follows
 
 
 def bag(form: str) -> set:
@@ -415,8 +421,9 @@ def title_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = T
     several = forms.where("copies > n")
     same = several.groupBy("class_id").agg(F.min("vid").alias("a")).join(several, "class_id").select("a", F.col("vid").alias("b"))
     found = written(components(links.unionByName(same).select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    rooted = forms.drop("copies").join(found.withColumnRenamed("id", "vid"), "vid")
-    rooted = written(rooted.select("root", "n", "class_id", form_key(F.col("form")).alias("form")))
+    # keys in place of texts go through the join
+    lean = forms.select("vid", "n", "class_id", form_key(F.col("form")).alias("form"))
+    rooted = written(lean.join(found.withColumnRenamed("id", "vid"), "vid").drop("vid"))
     dropped(forms, found)
     least = rooted.groupBy("root").agg(F.min("class_id").alias("group_id"))
     return written(rooted.join(least, "root").select("form", "n", "class_id", "group_id"))
