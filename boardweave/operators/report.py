@@ -66,13 +66,15 @@ def date_range(raw: str, lowest: str = "20260710", highest: str = "99999999") ->
     return lo or lowest, hi or highest
 
 
-def only(rows: DataFrame, accounts: list[str]) -> DataFrame:
-    """Rows of some accounts; an empty choice is an error, as is one that names no account of the rows."""
+def only(rows: DataFrame, accounts: list[str], configured: list[str] | None = None) -> DataFrame:
+    """Rows of some accounts; an empty choice is an error, as is one that names none of the configured accounts.
+
+    A chosen account without rows isn't an error: it gives none.
+    """
     wanted = [a.strip() for a in accounts if a.strip()]
-    out = rows.where(F.col("account").isin(wanted)) if wanted else None
-    if out is None or not out.limit(1).count():
+    if not wanted or (configured is not None and not set(wanted) & set(configured)):
         raise ValueError(f"no account among {accounts}")
-    return out
+    return rows.where(F.col("account").isin(wanted))
 
 
 def expired(folders: DataFrame, cutoff: str) -> DataFrame:

@@ -147,3 +147,11 @@ def test_ranges_and_accounts(spark):
     assert report.date_range("..20300102") == ("20260710", "20300102")
     with pytest.raises(ValueError):
         report.only(spark.createDataFrame([("a",)], "account string"), [" "])
+
+
+def test_chosen_accounts_without_rows_give_none(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "account string, n int")
+    assert [r.n for r in report.only(rows, [" b ", "c"]).collect()] == [2]
+    assert report.only(rows, ["c"]).count() == 0 and report.only(rows.limit(0), ["a"], ["a"]).count() == 0
+    with pytest.raises(ValueError):
+        report.only(rows, ["b"], ["a"])
