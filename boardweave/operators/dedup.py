@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from boardweave.functions import dims
 from boardweave.functions import titles as T
-from boardweave.operators.scratch import written
+from boardweave.operators import alike
+from boardweave.operators.scratch import freed, written
 
 
 def exact_groups(articles: DataFrame) -> DataFrame:
@@ -46,24 +47,37 @@ def contained(articles: DataFrame, least: int = 5) -> DataFrame:
     return head.join(grams, "g").where(F.contains("long", F.col("short")) & (F.length("long") > F.length("short"))).select("short", "long")
 
 
-def _ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    from difflib import SequenceMatcher
+def _scores(entity_at: float, full_at: float):
+    """Scores of pairs of normalised titles and entities; None for those that no ratio admits."""
 
-    for a, b in batches:
-        yield pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        from collections import Counter
+        from difflib import SequenceMatcher
 
+        letters: dict = {}
 
-def _blocks(t: DataFrame, col: str, threshold: float) -> DataFrame:
-    """Candidate pairs of ids by a prefix filter over numbered letters: lossless for ratio >= threshold."""
-    tok = t.select("id", F.size(col).alias("n"), F.explode(col).alias("tok"))
-    rare = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    r = threshold / (2 - threshold)
-    order = tok.join(rare, "tok").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
-    keep = F.col("n") - F.ceil(F.col("n") * r - F.lit(1e-9)).cast("int") + 1
-    pre = order.select("id", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("x")).select("id", "n", F.xxhash64("x.tok").alias("tok"))
-    x, y = pre.toDF("a", "na", "tok"), pre.toDF("b", "nb", "tok")
-    fit = F.least("na", "nb") >= F.greatest("na", "nb") * r - 1e-9
-    return x.join(y, "tok").where(fit & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+        def most(x: str, y: str) -> float:
+            """A bound on the ratio, by the letters in common."""
+            for z in (x, y):
+                if z not in letters:
+                    letters[z] = Counter(z)
+            return 2.0 * (letters[x] & letters[y]).total() / (len(x) + len(y)) if x and y else 0.0
+
+        low = min(entity_at, full_at)
+        for nl, nr, el, er, inside in batches:
+            letters.clear()
+            out: list = []
+            for a, b, x, y, held in zip(nl, nr, el, er, inside):
+                if held:  # no ratio is above 1
+                    out.append(1.0)
+                    continue
+                entity = SequenceMatcher(None, x, y).ratio() if most(x, y) >= low else 0.0
+                top, said = most(a, b), entity >= entity_at
+                full = SequenceMatcher(None, a, b).ratio() if top >= low and not (said and top <= entity) else 0.0
+                out.append(max(full, entity) if said or full >= full_at else None)
+            yield pd.Series(out, dtype="float64")
+
+    return score
 
 
 def similar(articles: DataFrame, brands: T.Brands | None = None, entity_at: float = 0.8, full_at: float = 0.85) -> DataFrame:
@@ -76,31 +90,23 @@ def similar(articles: DataFrame, brands: T.Brands | None = None, entity_at: floa
     t = a.groupBy("norm").agg(F.max(F.struct("date", "title")).alias("m")).select("norm", "m.date", "m.title")
     # everything that depends on one title is made once, before pairs exist; rows are numbered by a written table
     t = t.withColumns({"ent": T.entity(F.col("title")), "brand": brands.effective(F.col("title"))})
-    t = written(t.withColumns({"nn": _numbered("norm"), "en": _numbered("ent"), "id": F.monotonically_increasing_id()}))
-    held = contained(articles).join(t.select(F.col("norm").alias("short"), F.col("id").alias("i")), "short").join(t.select(F.col("norm").alias("long"), F.col("id").alias("j")), "long")
-    pairs = _blocks(t, "nn", full_at).union(_blocks(t, "en", entity_at)).union(held.select(F.least("i", "j"), F.greatest("i", "j"))).distinct()
-    cols = ["date", "title", "norm", "ent", "brand", "nn", "en"]
-    side = lambda n: t.select(F.col("id").alias(n), F.struct(*cols).alias(f"s{n}"))
+    t = written(t.withColumn("id", F.monotonically_increasing_id()))
+    found = []
+    for some in (lambda: alike.alike(t, "norm", full_at), lambda: alike.alike(t, "ent", entity_at), lambda: alike.holding(t, "norm")):
+        freed(t.sparkSession)  # one search's shuffle on disk at a time
+        found.append(written(some()))
+    freed(t.sparkSession)
+    pairs = found[0].union(found[1]).union(found[2]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda n: t.select(F.col("id").alias(n), F.struct("date", "title", "norm", "ent", "brand").alias(f"s{n}"))
     p = pairs.join(side("a"), "a").join(side("b"), "b")
     later = F.struct("sa.date", "sa.title", "sa.norm") > F.struct("sb.date", "sb.title", "sb.norm")
     p = p.select(F.when(later, F.col("sa")).otherwise(F.col("sb")).alias("l"), F.when(later, F.col("sb")).otherwise(F.col("sa")).alias("r"))
-    # letters in common bound the ratio from above: drops most pairs before any Python
-    bag = lambda c: 2 * F.size(F.array_intersect(f"l.{c}", f"r.{c}")) / F.greatest(F.size(f"l.{c}") + F.size(f"r.{c}"), F.lit(1))
     nl, nr = F.col("l.norm"), F.col("r.norm")
     inside = (F.least(F.length(nl), F.length(nr)) >= 5) & (F.contains(nl, nr) | F.contains(nr, nl))
-    p = p.withColumn("inside", inside).where(F.col("inside") | (bag("nn") >= full_at - 1e-9) | (bag("en") >= entity_at - 1e-9))
-    p = p.where(~brands.veto(F.col("l.brand"), F.col("r.brand"))).select(nl.alias("nl"), nr.alias("nr"), F.col("l.ent").alias("el"), F.col("r.ent").alias("er"), "inside")
-    ratio = F.pandas_udf(_ratio, "double")
-    p = p.withColumns({"full": ratio("nl", "nr"), "entity": ratio("el", "er")})
-    p = p.where((F.col("full") >= full_at) | (F.col("entity") >= entity_at) | F.col("inside"))
-    score = F.greatest("full", "entity", F.when(F.col("inside"), 1.0).otherwise(0.0))
-    return p.select(F.col("nl").alias("title_a"), F.col("nr").alias("title_b"), score.alias("score"))
-
-
-def _numbered(col: str):
-    """Letters with their occurrence number, so that a set stands for a multiset."""
-    cs = F.filter(F.split(F.col(col), ""), lambda c: c != "")
-    return F.transform(cs, lambda c, i: F.concat(c, F.size(F.filter(F.slice(cs, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+    p = p.where(~brands.veto(F.col("l.brand"), F.col("r.brand")))
+    score = F.pandas_udf(_scores(entity_at, full_at), "double")
+    p = p.select(nl.alias("title_a"), nr.alias("title_b"), score(nl, nr, F.col("l.ent"), F.col("r.ent"), inside).alias("score"))
+    return p.where("score is not null and not isnan(score)")
 
 
 def top_candidates(candidates: DataFrame, k: int = 2000) -> DataFrame:
