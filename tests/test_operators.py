@@ -155,3 +155,10 @@ def test_chosen_accounts_without_rows_give_none(spark):
     assert report.only(rows, ["c"]).count() == 0 and report.only(rows.limit(0), ["a"], ["a"]).count() == 0
     with pytest.raises(ValueError):
         report.only(rows, ["b"], ["a"])
+
+
+def test_best_candidates_come_first(spark):
+    rows = [(f"u{i}", "x", "2026-09-01", t) for i, t in enumerate(["甲乙丙丁戊己庚辛", "甲乙丙丁戊己庚辛壬", "甲乙丙丁戊己庚新", "子丑寅卯辰巳午未", "子丑寅卯辰巳午申"])]
+    found = dedup.similar(spark.createDataFrame(rows, "url string, account string, date string, title string"))
+    all_ = sorted(map(tuple, found.collect()), key=lambda r: (r[2], r[0], r[1]), reverse=True)
+    assert len(all_) == 4 and [tuple(r) for r in dedup.top_candidates(found, 3).collect()] == all_[:3]
