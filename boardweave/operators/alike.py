@@ -231,6 +231,8 @@ def alike(t: DataFrame, col: str, threshold: float) -> DataFrame:
         raise ValueError(f"threshold {threshold} is not between two thirds and 1")
     spark = t.sparkSession
     t = t.where(F.col(col) != "").select("id", F.col(col).alias("s"))
+    if threshold == 1:  # only equal strings
+        return t.withColumnRenamed("id", "a").join(t.withColumnRenamed("id", "b"), "s").where("a < b").select("a", "b")
     counts = _counts(t, "s", _pairs_of)
     n = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // TASK_ROWS)))
     given = spark.sparkContext.broadcast(counts)

@@ -1,6 +1,7 @@
 """The three tiers of duplicate detection over articles(url, account, date, title), and their decisions."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from boardweave.functions import dims
 from boardweave.functions import titles as T
 from boardweave.operators import alike
-from boardweave.operators.scratch import freed, written
+from boardweave.operators.scratch import dropped, freed, written
 
 
 def exact_groups(articles: DataFrame) -> DataFrame:
@@ -47,10 +48,14 @@ def contained(articles: DataFrame, least: int = 5) -> DataFrame:
     return head.join(grams, "g").where(F.contains("long", F.col("short")) & (F.length("long") > F.length("short"))).select("short", "long")
 
 
-def _scores(entity_at: float, full_at: float):
-    """Scores of pairs of normalised titles and entities; None for those that no ratio admits."""
+#: Scores from which the best candidates are looked for before all candidates are.
+LEVELS = (1.0, 0.95)
 
-    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+
+def _scored(entity_at: float, full_at: float):
+    """title_a, title_b, score of pairs of normalised titles and entities, without those that no ratio admits."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
         from difflib import SequenceMatcher
 
@@ -64,10 +69,10 @@ def _scores(entity_at: float, full_at: float):
             return 2.0 * (letters[x] & letters[y]).total() / (len(x) + len(y)) if x and y else 0.0
 
         low = min(entity_at, full_at)
-        for nl, nr, el, er, inside in batches:
+        for pdf in batches:
             letters.clear()
             out: list = []
-            for a, b, x, y, held in zip(nl, nr, el, er, inside):
+            for a, b, x, y, held in zip(pdf.title_a, pdf.title_b, pdf.ent_a, pdf.ent_b, pdf.inside):
                 if held:  # no ratio is above 1
                     out.append(1.0)
                     continue
@@ -75,28 +80,35 @@ def _scores(entity_at: float, full_at: float):
                 top, said = most(a, b), entity >= entity_at
                 full = SequenceMatcher(None, a, b).ratio() if top >= low and not (said and top <= entity) else 0.0
                 out.append(max(full, entity) if said or full >= full_at else None)
-            yield pd.Series(out, dtype="float64")
+            pdf["score"] = pd.Series(out, pdf.index, "float64")
+            yield pdf.loc[pdf.score.notna(), ["title_a", "title_b", "score"]]
 
     return score
 
 
-def similar(articles: DataFrame, brands: T.Brands | None = None, entity_at: float = 0.8, full_at: float = 0.85) -> DataFrame:
-    """title_a, title_b, score: pairs of different titles alike by entity, by whole title or by containment.
-
-    Left is the earlier in the order of date and title, latest first, as the ratio depends on the order.
-    """
-    brands = brands or T.Brands()
+def _titles(articles: DataFrame, brands: T.Brands) -> DataFrame:
+    """id, norm, date, title, ent, brand of the different normalised titles, a written table."""
     a = articles.withColumn("norm", T.normalized(F.col("title"))).where("norm <> ''")
     t = a.groupBy("norm").agg(F.max(F.struct("date", "title")).alias("m")).select("norm", "m.date", "m.title")
     # everything that depends on one title is made once, before pairs exist; rows are numbered by a written table
     t = t.withColumns({"ent": T.entity(F.col("title")), "brand": brands.effective(F.col("title"))})
-    t = written(t.withColumn("id", F.monotonically_increasing_id()))
-    found = []
-    for some in (lambda: alike.alike(t, "norm", full_at), lambda: alike.alike(t, "ent", entity_at), lambda: alike.holding(t, "norm")):
+    return written(t.withColumn("id", F.monotonically_increasing_id()))
+
+
+def _holding(t: DataFrame) -> DataFrame:
+    freed(t.sparkSession)
+    return written(alike.holding(t, "norm"))
+
+
+def _similar(t: DataFrame, held: DataFrame, brands: T.Brands, entity_at: float, full_at: float) -> DataFrame:
+    """similar() of the titles t, of which held has the pairs that may hold one another."""
+    found = [held]
+    searches = [("norm", full_at)] * (full_at < 1) + [("ent", entity_at)]  # normalised titles are never equal
+    for col, at in searches:
         freed(t.sparkSession)  # one search's shuffle on disk at a time
-        found.append(written(some()))
+        found.append(written(alike.alike(t, col, at)))
     freed(t.sparkSession)
-    pairs = found[0].union(found[1]).union(found[2]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = reduce(DataFrame.union, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda n: t.select(F.col("id").alias(n), F.struct("date", "title", "norm", "ent", "brand").alias(f"s{n}"))
     p = pairs.join(side("a"), "a").join(side("b"), "b")
     later = F.struct("sa.date", "sa.title", "sa.norm") > F.struct("sb.date", "sb.title", "sb.norm")
@@ -104,9 +116,21 @@ def similar(articles: DataFrame, brands: T.Brands | None = None, entity_at: floa
     nl, nr = F.col("l.norm"), F.col("r.norm")
     inside = (F.least(F.length(nl), F.length(nr)) >= 5) & (F.contains(nl, nr) | F.contains(nr, nl))
     p = p.where(~brands.veto(F.col("l.brand"), F.col("r.brand")))
-    score = F.pandas_udf(_scores(entity_at, full_at), "double")
-    p = p.select(nl.alias("title_a"), nr.alias("title_b"), score(nl, nr, F.col("l.ent"), F.col("r.ent"), inside).alias("score"))
-    return p.where("score is not null and not isnan(score)")
+    p = p.select(nl.alias("title_a"), nr.alias("title_b"), F.col("l.ent").alias("ent_a"), F.col("r.ent").alias("ent_b"), inside.alias("inside"))
+    if min(entity_at, full_at) >= 1:
+        p = p.where("inside or ent_a = ent_b")  # all that has a ratio of 1, so no other pair is sent to be scored
+    # scored once: a filter on a scored column would be pushed down and score every pair that it keeps twice
+    return p.mapInPandas(_scored(entity_at, full_at), "title_a string, title_b string, score double")
+
+
+def similar(articles: DataFrame, brands: T.Brands | None = None, entity_at: float = 0.8, full_at: float = 0.85) -> DataFrame:
+    """title_a, title_b, score: pairs of different titles alike by entity, by whole title or by containment.
+
+    Left is the earlier in the order of date and title, latest first, as the ratio depends on the order.
+    """
+    brands = brands or T.Brands()
+    t = _titles(articles, brands)
+    return _similar(t, _holding(t), brands, entity_at, full_at)
 
 
 def top_candidates(candidates: DataFrame, k: int = 2000) -> DataFrame:
@@ -114,6 +138,24 @@ def top_candidates(candidates: DataFrame, k: int = 2000) -> DataFrame:
     return candidates.orderBy(F.desc("score"), F.desc("title_a"), F.desc("title_b")).limit(k)
 
 
+def top_similar(articles: DataFrame, k: int = 2000, brands: T.Brands | None = None, entity_at: float = 0.8, full_at: float = 0.85) -> DataFrame:
+    """top_candidates() of similar(), looked for from the top.
+
+    A score is the larger ratio, so a search with a level as both thresholds finds every candidate of that score and
+    above. Where these are k or more the best k are among them, and nothing below the level need be looked for.
+    """
+    brands = brands or T.Brands()
+    t = _titles(articles, brands)
+    held = _holding(t)
+    for level in LEVELS:
+        if level >= max(entity_at, full_at):
+            found = written(_similar(t, held, brands, level, level))
+            if found.count() >= k:
+                return top_candidates(found, k)
+            dropped(found)
+    return top_candidates(_similar(t, held, brands, entity_at, full_at), k)
+
+
 def upsert_decisions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Verdicts keyed by the two links in order; new ones win, then the later decided, then the larger pair_id."""
     tag = lambda d, n: d.select(*_pair_key(), "duplicate", "rule", "veto", "decided_at", "pair_id", F.lit(n).alias("gen"))

@@ -74,7 +74,7 @@ def similar_candidates(spark, d):
 
 @query()
 def similar_candidates_topk(spark, d):
-    return dedup.top_candidates(dedup.similar(articles(spark, d)), 2000)
+    return dedup.top_similar(articles(spark, d), 2000)
 
 
 @query(f"with {ARTICLES}, {BRANDED} select title, array_to_string(eff, ',') brands from be")

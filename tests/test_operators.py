@@ -162,3 +162,27 @@ def test_best_candidates_come_first(spark):
     found = dedup.similar(spark.createDataFrame(rows, "url string, account string, date string, title string"))
     all_ = sorted(map(tuple, found.collect()), key=lambda r: (r[2], r[0], r[1]), reverse=True)
     assert len(all_) == 4 and [tuple(r) for r in dedup.top_candidates(found, 3).collect()] == all_[:3]
+
+
+def test_the_best_candidates_are_found_from_the_top(spark, monkeypatch):
+    words = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉"
+    base = [words[i:] + words[:i] for i in range(0, 20, 4)]
+    titles = [*base, *[t[:-1] for t in base], *[t[:9] + "天" + t[10:] for t in base], *[t[:5] + "天地" + t[7:14] + "人" + t[15:] for t in base], "招聘" + base[0][::-1], base[0][::-1] + "公告", "地" * 30 + "甲", "地" * 30 + "乙"]
+    df = spark.createDataFrame([(f"u{i}", "p", f"2026-08-{i % 28 + 1:02d}", t) for i, t in enumerate(titles)], "url string, account string, date string, title string")
+    all_ = [tuple(r) for r in dedup.top_candidates(dedup.similar(df), 10_000).collect()]
+    scores = [r[2] for r in all_]
+    best, high = scores.count(1.0), sum(x >= 0.95 for x in scores)
+    assert 0 < best < high < len(all_)
+    asked, real = [], dedup._similar
+    monkeypatch.setattr(dedup, "_similar", lambda t, held, brands, *at: asked.append(at) or real(t, held, brands, *at))
+    for k, levels in ((best, 1), (best + 1, 2), (high + 1, 3)):
+        asked.clear()
+        assert [tuple(r) for r in dedup.top_similar(df, k).collect()] == all_[:k]
+        assert asked == [(1.0, 1.0), (0.95, 0.95), (0.8, 0.85)][:levels]
+
+
+def test_a_pair_is_scored_once(spark):
+    df = spark.createDataFrame([("u", "p", "2026-08-01", "甲乙丙丁戊己庚辛"), ("v", "p", "2026-08-02", "甲乙丙丁戊己庚壬")], "url string, account string, date string, title string")
+    found = dedup.similar(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 1 and plan.count("ArrowEvalPython") + plan.count("MapInPandas") == 1
